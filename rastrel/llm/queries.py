@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, simhash
+from . import common, compression, packing, pii, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(common.documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(common.documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return found.drop("ids")

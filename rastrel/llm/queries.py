@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, compression, packing, pii, simhash
+from . import common, compression, histshard, idcoder, packing, pii, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -26,11 +26,23 @@ def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(common.documents(spark, sf_dir))
 
 
+def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "ids")
+    idcoder.write(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), path)
+    return idcoder.read(spark, path).drop("ids")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return found.drop("ids")
 
 
+def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = histshard.shard(common.documents(spark, sf_dir))
+    digest = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return found.select("doc_id", "size", digest, "law", "shard", "slot", "grown_shard")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

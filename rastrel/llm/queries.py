@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, compression, histshard, idcoder, packing, pii, simhash
+from . import common, compression, histshard, idcoder, langid, packing, pii, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +37,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("ids")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    out = common.held_out(F.col("doc_id"), 3, 1)
+    model = langid.train(docs.where(~out).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = histshard.shard(common.documents(spark, sf_dir))
     digest = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")

@@ -34,3 +34,22 @@ def raw(column: pa.Array) -> list:
     """UTF-8 bytes of a column's texts, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return strings(column.cast(kind))
+
+
+#: Characters taken off the ends of a word before it is looked up.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
+
+
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words (between ASCII white space) of all texts, the number of each word in order, and where each text's words begin."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(column, "").cast(pa.large_string()))
+    flat = lists.flatten().dictionary_encode()
+    starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # a text that begins or ends with white space has an empty word there
+    index = flat.indices.to_numpy(zero_copy_only=False)
+    return flat.dictionary, index, starts
+
+
+def terms(distinct: pa.Array) -> pa.Array:
+    """Words in lower case without the marks at their ends."""
+    return pc.utf8_lower(pc.utf8_trim(distinct, characters=MARKS))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, compression, histshard, idcoder, langid, packing, pii, simhash
+from . import common, compression, histshard, idcoder, langid, packing, pii, quality, simhash
 
 
 def vocabulary(name: str) -> str:
@@ -55,5 +55,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = common.documents(spark, sf_dir, "labels")
+    found = quality.score(common.documents(spark, sf_dir), labels, ~common.held_out(F.col("doc_id"), 5, 0))
+    return found.select("doc_id", common.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}

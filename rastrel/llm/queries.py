@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, compression, histshard, idcoder, langid, packing, pii, quality, simhash
+from . import common, compression, histshard, idcoder, langid, packing, pii, quality, simhash, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,12 @@ def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.read(spark, path).drop("ids")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, out = common.documents(spark, sf_dir, "labels"), common.held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score(common.documents(spark, sf_dir), labels, ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return found.drop("ids")

@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
 Examples are at most `examples` labelled documents of each class, chosen by a hash of doc_id. The terms are those that
-the examples tie to toxicity (log-likelihood ratio at or above `evidence`, in at least `least` different texts), at most
-`terms` of them; a document's vector has (1 + log count) * idf for each, with document counts over all documents, and
+the examples tie to toxicity (log-likelihood ratio at or above `evidence`, in at least `least` different texts, and after at
+least half as many different words as it has toxic texts, which terms of one copied passage aren't), at most `terms` of
+them; a document's vector has (1 + log count) * idf for each, with document counts over all documents, and
 length 1. Examples lie in blocks of `block`; for each term and block the index keeps the largest weight, so a block whose
 sum of largest weights can't reach the k-th best similarity found is left out, and the k nearest are exact. Equal
 similarities go to the example that comes first.
@@ -160,6 +161,21 @@ def _example_terms(given):
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "y", "n"])
 
 
+def _contexts(terms: list[str]):
+    def run(given):
+        known = pa.array(terms, pa.large_string())
+        for batch in batches.slices(given, "text"):
+            distinct, index, starts = batches.words(batch.column("text"))
+            forms = batches.terms(distinct)
+            number = pc.fill_null(pc.index_in(forms, known), -1).to_numpy(zero_copy_only=False)[index] if len(index) else np.zeros(0, np.int32)
+            hits = np.flatnonzero(number >= 0)
+            hits = hits[~np.isin(hits, starts)]
+            pairs = np.unique(np.stack([number[hits], index[hits - 1]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int32)), forms.take(pa.array(pairs[1])).cast(pa.string())], ["t", "before"])
+
+    return run
+
+
 def choose_terms(examples: DataFrame, sizes: tuple[int, int], shape: Shape) -> list[str]:
     """The terms tied to label 1: bounded by shape.terms, strongest first."""
     seen = examples.mapInArrow(_example_terms, "term string, y long, n long")
@@ -169,8 +185,13 @@ def choose_terms(examples: DataFrame, sizes: tuple[int, int], shape: Shape) -> l
     ea, eb = (a + b) * toxic / n, (a + b) * clean / n
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, ea) + part(b, eb) + part(toxic - a, toxic - ea) + part(clean - b, clean - eb))
-    good = both.where((a + b >= shape.least) & (a / toxic > b / clean)).select("term", ratio.alias("g")).where(F.col("g") >= shape.evidence)
-    return [r["term"] for r in good.orderBy(F.desc("g"), "term").limit(shape.terms).collect()]
+    good = both.where((a + b >= shape.least) & (a / toxic > b / clean)).select("term", "a", ratio.alias("g")).where(F.col("g") >= shape.evidence)
+    tied = [(r["term"], r["a"]) for r in good.orderBy(F.desc("g"), "term").limit(2 * shape.terms).collect()]
+    if not tied:
+        return []
+    toxic_texts = examples.where("y = 1").select("text").mapInArrow(_contexts([t for t, _ in tied]), "t int, before string")
+    ways = {r["t"]: r["n"] for r in toxic_texts.distinct().groupBy("t").agg(F.count("*").alias("n")).collect()}
+    return [t for i, (t, a) in enumerate(tied) if ways.get(i, 0) >= max(shape.least, a / 2)][: shape.terms]
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:

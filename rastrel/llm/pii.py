@@ -250,7 +250,8 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     added = common.table(term_spans(texts, pairs), "terms").select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("terms").alias(c))
     h1, h2 = _hashes(docs["text"].cast("string"))
     marked = docs.withColumn(a, h1).withColumn(b, h2).join(added, [a, b], "left").drop(a, b)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def run(given):
         for batch in given:
@@ -258,8 +259,8 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
             for text, terms in zip(batches.strings(batch.column("text")), batch.column(c).to_pylist()):
                 spans = base_spans(text or "") + [(x["kind"], x["s"], x["e"]) for x in terms or ()]
                 new.append(redact(text, spans) if spans else text)
-            columns = [batch.column(n) for n in docs.columns]
+            columns = [batch.column(n) for n in names]
             columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.select(*docs.columns, c).mapInArrow(run, docs.schema)
+    return marked.select(*names, c).mapInArrow(run, docs.schema)

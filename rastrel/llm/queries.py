@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, compression, histshard, idcoder, langid, packing, pii, quality, simhash, toxicity
+from . import common, compression, decontam, histshard, idcoder, langid, packing, pii, quality, simhash, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -56,6 +56,10 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", digest, "law", "shard", "slot", "grown_shard")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(common.documents(spark, sf_dir), common.documents(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

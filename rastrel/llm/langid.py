@@ -67,21 +67,25 @@ def features(raw: bytes, dims: int) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, classes weighted alike, by accelerated gradient; y is -1 or 1."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    ones = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    v = np.ones(ones.shape[1])
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    y = y.astype(x.dtype)
+    v, c = np.ones(x.shape[1], x.dtype), x.dtype.type(1)
     for _ in range(12):  # the largest curvature
-        v = ones.T @ (weight * (ones @ v))
-        v /= np.linalg.norm(v)
-    rate = 1 / (2 * (v @ (ones.T @ (weight * (ones @ v)))) + ridge)
-    w = look = np.zeros(ones.shape[1])
+        z = weight * (x @ v + c)
+        v, c = x.T @ z, z.sum()
+        size = np.sqrt(v @ v + c * c)
+        v, c = v / size, c / size
+    z = weight * (x @ v + c)
+    rate = x.dtype.type(1 / (2 * (v @ (x.T @ z) + c * z.sum()) + ridge))
+    w = look = np.zeros(x.shape[1], x.dtype)
+    b = there = x.dtype.type(0)
     for i in range(steps):
-        slack = np.maximum(0, 1 - y * (ones @ look))
-        grad = -2 * (ones.T @ (weight * y * slack)) + ridge * np.append(look[:-1], 0)
-        new = look - rate * grad
-        look = new + i / (i + 3) * (new - w)
-        w = new
-    return w[:-1], float(w[-1])
+        pull = -2 * weight * y * np.maximum(0, 1 - y * (x @ look + there))
+        new, new_b = look - rate * (x.T @ pull + x.dtype.type(ridge) * look), there - rate * pull.sum()
+        step = x.dtype.type(i / (i + 3))
+        look, there = new + step * (new - w), new_b + step * (new_b - b)
+        w, b = new, new_b
+    return w, float(b)
 
 
 @dataclass
@@ -137,7 +141,7 @@ def _slope(margins: np.ndarray) -> float:
     return float(min(np.geomspace(0.25, 32, 29), key=lambda s: np.logaddexp(0, -s * margins).sum()))
 
 
-def train(labelled: DataFrame, sample: int = 3200, dims: int = 4096) -> Model:
+def train(labelled: DataFrame, sample: int = 1600, dims: int = 4096) -> Model:
     """labelled: text, lang. At most `sample` rows reach the driver, as vectors."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -160,9 +164,11 @@ def train(labelled: DataFrame, sample: int = 3200, dims: int = 4096) -> Model:
         if len(own := taken.setdefault(r["lang"], [])) < each:
             own.append(np.frombuffer(r["x"], np.float32))
     langs = sorted(taken)
-    x = np.array([v for a in langs for v in taken[a]], np.float64)
+    del rows
+    x = np.array([v for a in langs for v in taken[a]], np.float32)
     y = np.array([a for a in langs for _ in taken[a]])
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
+    del taken
+    scale = (1 / np.sqrt(x.mean(0) + 1e-6)).astype(np.float32)
     x *= scale
     x /= 4
     held = np.arange(len(y)) % 5 == 0
@@ -186,7 +192,7 @@ def train(labelled: DataFrame, sample: int = 3200, dims: int = 4096) -> Model:
                 machines.append(("pair", a, c))
                 columns.append(w)
                 biases.append(b)
-    w = np.array(columns).T if columns else np.zeros((dims, 0))
+    w = np.array(columns).T if columns else np.zeros((dims, 0), np.float32)
     test = held if held.any() else fit
     margins = x[test] @ w + np.array(biases)
     own = {m: margins[:, i] for i, m in enumerate(machines)}

@@ -5,7 +5,7 @@ All run inside whole-stage code generation. Fixed values are those of the sRGB a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The D65 white point, the linear sRGB to XYZ matrix and its inverse, the Lab constants.
@@ -64,30 +64,39 @@ def dist_sq(p: Column, q: Column) -> Column:
     return sum(((p[k] - q[k]) * (p[k] - q[k]) for k in "ab"), (p["l"] - q["l"]) * (p["l"] - q["l"]))
 
 
-def delta_e2000(p: Column, q: Column) -> Column:
-    """CIEDE2000 of two Lab structs, with all parametric factors 1."""
-    two, full = F.lit(2.0), F.lit(360.0)
-    c1, c2 = (F.sqrt(x["a"] * x["a"] + x["b"] * x["b"]) for x in (p, q))
-    c7 = F.pow((c1 + c2) / two, F.lit(7.0))
-    g = (1 - F.sqrt(c7 / (c7 + 6103515625.0))) * 0.5
-    a1, a2 = p["a"] * (g + 1), q["a"] * (g + 1)
-    d1, d2 = F.sqrt(a1 * a1 + p["b"] * p["b"]), F.sqrt(a2 * a2 + q["b"] * q["b"])
+def delta_e2000(table: DataFrame, p: str, q: str, out: str) -> DataFrame:
+    """The table with the CIEDE2000 difference of two Lab columns, all parametric factors 1.
+
+    The formula goes through a few projections, so that each term is written, optimised and computed once.
+    """
+    keep, two, full = table.columns, F.lit(2.0), F.lit(360.0)
+    col = {k: f"_{k}" for k in "l1 l2 b1 b2 a1 a2 d1 d2 h1 h2 dh mh ml mc t".split()}
+    c = {k: F.col(v) for k, v in col.items()}
+    size = lambda x: F.sqrt(F.col(f"{x}.a") * F.col(f"{x}.a") + F.col(f"{x}.b") * F.col(f"{x}.b"))
+    c7 = F.pow((size(p) + size(q)) / two, F.lit(7.0))
+    step = table.select(*keep, ((1 - F.sqrt(c7 / (c7 + 6103515625.0))) * 0.5 + 1).alias("_g"))
+    lab_ = lambda x, n: [F.col(f"{x}.l").alias(f"_l{n}"), F.col(f"{x}.b").alias(f"_b{n}"), (F.col(f"{x}.a") * F.col("_g")).alias(f"_a{n}")]
+    step = step.select(*keep, *lab_(p, 1), *lab_(q, 2))
     hue = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), full))
-    h1, h2 = hue(a1, p["b"]), hue(a2, q["b"])
-    grey, turn = d1 * d2 == 0, h2 - h1
+    far = lambda a, b: F.sqrt(a * a + b * b)
+    polar = [far(c["a1"], c["b1"]).alias("_d1"), far(c["a2"], c["b2"]).alias("_d2"), hue(c["a1"], c["b1"]).alias("_h1"), hue(c["a2"], c["b2"]).alias("_h2")]
+    step = step.select(*keep, "_l1", "_l2", *polar)
+    grey, turn, both = c["d1"] * c["d2"] == 0, c["h2"] - c["h1"], c["h1"] + c["h2"]
     dh = F.when(grey, 0.0).when(turn > 180, turn - full).when(turn < -180, turn + full).otherwise(turn)
-    dl, dc, dH = q["l"] - p["l"], d2 - d1, F.sqrt(d1 * d2) * F.sin(F.radians(dh / two)) * two
-    ml, mc, both = (p["l"] + q["l"]) / two, (d1 + d2) / two, h1 + h2
-    mh = F.when(grey, both).when(F.abs(h1 - h2) <= 180, both / two).when(both < 360, (both + full) / two).otherwise((both - full) / two)
-    cos = lambda k, shift: F.cos(F.radians(mh * k + shift))
+    mh = F.when(grey, both).when(F.abs(turn) <= 180, both / two).when(both < 360, (both + full) / two).otherwise((both - full) / two)
+    step = step.select(*keep, "_l1", "_l2", "_d1", "_d2", dh.alias("_dh"), mh.alias("_mh"), ((c["l1"] + c["l2"]) / two).alias("_ml"), ((c["d1"] + c["d2"]) / two).alias("_mc"))
+    cos = lambda k, shift: F.cos(F.radians(c["mh"] * k + shift))
     t = 1 - cos(1.0, -30.0) * 0.17 + cos(2.0, 0.0) * 0.24 + cos(3.0, 6.0) * 0.32 - cos(4.0, -63.0) * 0.20
-    sl = (ml - 50) * (ml - 50) * 0.015 / F.sqrt((ml - 50) * (ml - 50) + 20) + 1
-    sc, sh = mc * 0.045 + 1, mc * t * 0.015 + 1
-    m7 = F.pow(mc, F.lit(7.0))
-    bend = F.exp(-F.pow((mh - 275) / 25.0, two))
+    off = (c["ml"] - 50) * (c["ml"] - 50)
+    m7 = F.pow(c["mc"], F.lit(7.0))
+    bend = F.exp(-F.pow((c["mh"] - 275) / 25.0, two))
+    x = (c["l2"] - c["l1"]) / (off * 0.015 / F.sqrt(off + 20) + 1)
+    y = (c["d2"] - c["d1"]) / (c["mc"] * 0.045 + 1)
+    z = F.sqrt(c["d1"] * c["d2"]) * F.sin(F.radians(c["dh"] / two)) * two / (c["mc"] * t * 0.015 + 1)
     rt = -F.sin(F.radians(bend * 60.0)) * F.sqrt(m7 / (m7 + 6103515625.0)) * 2
-    x, y, z = dl / sl, dc / sc, dH / sh
-    return F.sqrt(F.greatest(x * x + y * y + z * z + rt * y * z, F.lit(0.0)))
+    step = step.select(*keep, x.alias("_x"), y.alias("_y"), z.alias("_z"), rt.alias("_t"))
+    x, y, z, rt = (F.col(n) for n in ("_x", "_y", "_z", "_t"))
+    return step.select(*keep, F.sqrt(F.greatest(x * x + y * y + z * z + rt * y * z, F.lit(0.0))).alias(out))
 
 
 def to_hex(r: Column, g: Column, b: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed and written once, inside one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -71,27 +76,45 @@ def flatten_cubic(p0: Column, p1: Column, p2: Column, p3: Column, tolerance: flo
 
 def arc_to_cubics(start: Column, radius: Column, large: Column, sweep: Column, end: Column) -> Column:
     """Array of struct<c1, c2, to>: a circular arc in pieces of 90 degrees at most. Flags as in SVG; a radius below half the chord is raised to it."""
+    none = F.expr("array()").cast("array<struct<c1:struct<x:double,y:double>,c2:struct<x:double,y:double>,to:struct<x:double,y:double>>>")
+
+    def with_centre(v: Column) -> Column:
+        dx, dy = v["ex"] - v["sx"], v["ey"] - v["sy"]
+        high = F.sqrt(F.greatest(v["r"] * v["r"] - v["chord"] * v["chord"] / 4, F.lit(0.0))) * v["side"] / v["chord"]
+        cx, cy = (v["sx"] + v["ex"]) / 2 - dy * high, (v["sy"] + v["ey"]) / 2 + dx * high
+        return let(F.struct(cx.alias("cx"), cy.alias("cy"), v.alias("v")), with_angles)
+
+    def with_angles(w: Column) -> Column:
+        v = w["v"]
+        a0 = F.atan2(v["sy"] - w["cy"], v["sx"] - w["cx"])
+        raw = F.atan2(v["ey"] - w["cy"], v["ex"] - w["cx"]) - a0
+        return let(F.struct(a0.alias("a0"), raw.alias("raw"), w.alias("w")), with_turn)
+
+    def with_turn(u: Column) -> Column:
+        sweep_, raw = u["w"]["v"]["sweep"], u["raw"]
+        turn = F.when(sweep_ & (raw < 0), raw + 2 * math.pi).when(~sweep_ & (raw > 0), raw - 2 * math.pi).otherwise(raw)
+        n = F.greatest(F.ceil(F.abs(turn) / (math.pi / 2) - 1e-9), F.lit(1)).cast("int")
+        return let(F.struct((turn / n).alias("step"), n.alias("n"), u.alias("u")), pieces)
+
+    def pieces(s: Column) -> Column:
+        w, v = s["u"]["w"], s["u"]["w"]["v"]
+
+        def piece(i: Column) -> Column:
+            b, e = s["u"]["a0"] + s["step"] * i, s["u"]["a0"] + s["step"] * (i + 1)
+            k = v["r"] * F.tan(s["step"] / 4) * (4.0 / 3.0)
+            to = F.when(i == s["n"] - 1, point(v["ex"], v["ey"])).otherwise(point(w["cx"] + v["r"] * F.cos(e), w["cy"] + v["r"] * F.sin(e)))
+            c1 = point(w["cx"] + v["r"] * F.cos(b) - k * F.sin(b), w["cy"] + v["r"] * F.sin(b) + k * F.cos(b))
+            c2 = point(w["cx"] + v["r"] * F.cos(e) + k * F.sin(e), w["cy"] + v["r"] * F.sin(e) - k * F.cos(e))
+            return F.struct(c1.alias("c1"), c2.alias("c2"), to.alias("to"))
+
+        return F.transform(F.sequence(F.lit(0), s["n"] - 1), piece)
+
     chord = dist(start, end)
-    r = F.greatest(radius, chord / 2)
-    mx, my = (start["x"] + end["x"]) / 2, (start["y"] + end["y"]) / 2
-    high = F.sqrt(F.greatest(r * r - chord * chord / 4, F.lit(0.0))) * F.when(large == sweep, -1.0).otherwise(1.0)
-    safe = F.greatest(chord, F.lit(1e-300))
-    cx, cy = mx - (end["y"] - start["y"]) / safe * high, my + (end["x"] - start["x"]) / safe * high
-    a0, a1 = F.atan2(start["y"] - cy, start["x"] - cx), F.atan2(end["y"] - cy, end["x"] - cx)
-    raw = a1 - a0
-    turn = F.when(sweep & (raw < 0), raw + 2 * math.pi).when(~sweep & (raw > 0), raw - 2 * math.pi).otherwise(raw)
-    n = F.greatest(F.ceil(F.abs(turn) / (math.pi / 2) - 1e-9), F.lit(1)).cast("int")
-    step = turn / n
-    k = F.tan(step / 4) * (4.0 / 3.0)
-
-    def piece(i: Column) -> Column:
-        b, e = a0 + step * i, a0 + step * (i + 1)
-        on = lambda t: (cx + r * F.cos(t), cy + r * F.sin(t))
-        (bx, by), (ex, ey) = on(b), on(e)
-        to = F.when(i == n - 1, point(end["x"], end["y"])).otherwise(point(ex, ey))
-        return F.struct(point(bx - k * r * F.sin(b), by + k * r * F.cos(b)).alias("c1"), point(ex + k * r * F.sin(e), ey - k * r * F.cos(e)).alias("c2"), to.alias("to"))
-
-    return F.when(chord < 1e-12, F.expr("array()").cast("array<struct<c1:struct<x:double,y:double>,c2:struct<x:double,y:double>,to:struct<x:double,y:double>>>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), piece))
+    known = F.struct(
+        start["x"].alias("sx"), start["y"].alias("sy"), end["x"].alias("ex"), end["y"].alias("ey"), F.greatest(chord, F.lit(1e-300)).alias("chord"),
+        F.greatest(radius, chord / 2).alias("r"), F.when(large == sweep, -1.0).otherwise(1.0).alias("side"), sweep.alias("sweep"),
+    )
+    return F.when(chord < 1e-12, none).otherwise(let(known, with_centre))
 
 
 def coverage(t: Column, nx: Column, ny: Column) -> Column:

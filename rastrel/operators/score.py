@@ -24,7 +24,7 @@ def pair(original: DataFrame, rendered: DataFrame, background=(1.0, 1.0, 1.0), c
 def delta_e(pairs: DataFrame) -> DataFrame:
     left, right = (colour.lab(*(F.col(c + s) for c in "rgb")) for s in ("", "2"))
     labs = pairs.select(*KEY, *"rgb", "r2", "g2", "b2", left.alias("p"), right.alias("q"))
-    return labs.select(*KEY, *"rgb", "r2", "g2", "b2", colour.delta_e2000(F.col("p"), F.col("q")).alias("de"))
+    return colour.delta_e2000(labs, "p", "q", "de").drop("p", "q")
 
 
 def metrics(pairs: DataFrame, threshold: float = 2.0) -> DataFrame:

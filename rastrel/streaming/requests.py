@@ -21,5 +21,6 @@ def current(results: DataFrame, awaited: DataFrame, key: str = "image_id", gener
 
 def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*", trigger: str = "1 second"):
     """Read image files as they come and hand each micro-batch (path, content) to a function, once each."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path).select("path", "content")
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()

@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from . import batches, common, tokens
 
 BLOCK = 2048
-FRAME_IDS = 1 << 20
+FRAME_IDS = 1 << 21
 MAGIC, VERSION = b"RIDC", 1
 _HEAD = struct.Struct("<4sHHIIQI")
 
-_SLOTS = 10  # bits of a slot number of each order
+_SLOTS = 9  # bits of a slot number of each order
 _STEP, _FULL = 32, 1024  # what an observation adds to a count; the total at which counts are halved
 _SCALE, _LEAST = np.float32(1 << 16), np.float32(16)  # the sum of mixed frequencies, about; the least of a digit
+_PRIOR = np.float32(32)  # counts that each context starts with, spread over all digits
 _RATE, _FLOOR = np.float32(1 / 32), np.float32(1 / 64)  # of the weights
 _TOP, _LOW = np.uint64(48), np.uint64(1 << 32)
 _SUMS = np.triu(np.ones((16, 16), np.float32))
@@ -53,10 +54,10 @@ class _Model:
     def __init__(self, lanes: int):
         self.lanes, self.rows = lanes, np.arange(lanes, dtype=np.int64) * 16
         self.base = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) << _SLOTS
-        self.counts = np.zeros((3 * lanes << _SLOTS, 16), np.uint16)
+        self.counts = np.zeros((3 * lanes << _SLOTS, 16), np.float32)  # whole numbers
         self.flat, self.totals = self.counts.ravel(), np.zeros(3 * lanes << _SLOTS, np.float32)
-        self.weights = np.empty((3, lanes * 16), np.float32)
-        self.weights[:] = np.array([[0.2], [0.3], [0.5]], np.float32)
+        self.weights = np.repeat(np.array([0.2, 0.3, 0.5], np.float32), lanes * 16)
+        self.sets = self.rows + np.arange(3, dtype=np.int64)[:, None] * (lanes * 16)
         self.hash = np.zeros((3, lanes), np.uint32)
         self.last = np.zeros(lanes, np.uint32)
         self.next(self.last)
@@ -74,14 +75,14 @@ class _Model:
         self.at = self.base + ((self.hash ^ node) * np.uint32(668265263) >> np.uint32(32 - _SLOTS))
         self.n = self.totals.take(self.at)
         seen = self.n > 0
-        self.set = self.rows + (4 * place + 2 * seen[2] + seen[1])
-        self.w = self.weights.take(self.set, axis=1)
-        m = np.floor(self.w * _SCALE / np.maximum(self.n, 1))
-        each = self.counts.take(self.at, axis=0).astype(np.float32)
-        each *= m[:, :, None]
-        self.mixed = each[0] + each[1]
-        self.mixed += each[2]
-        self.mixed += _LEAST
+        self.set = self.sets + (4 * place + 2 * seen[2] + seen[1])
+        self.w = self.weights.take(self.set)
+        self.trust = self.n + _PRIOR  # the prior's share of each order goes to all digits alike
+        m = np.floor(self.w * _SCALE / self.trust)
+        used = m * self.n
+        rest = np.maximum(np.floor((_SCALE - (used[0] + used[1] + used[2])) / np.float32(16)), 0) + _LEAST
+        self.mixed = np.einsum("kls,kl->ls", self.counts.take(self.at, axis=0), m)
+        self.mixed += rest[:, None]
         return self.mixed @ _SUMS
 
     def size(self, digit: np.ndarray) -> np.ndarray:
@@ -90,18 +91,17 @@ class _Model:
     def update(self, digit: np.ndarray) -> None:
         cell = (self.at << 4) + digit
         had = self.flat.take(cell)
-        self.flat[cell] = had + np.uint16(_STEP)
+        self.flat[cell] = had + np.float32(_STEP)
         n = self.n + np.float32(_STEP)
         self.totals[self.at] = n
         full = self.at[n > _FULL]
         if len(full):
-            half = self.counts[full] >> 1
+            half = np.floor(self.counts[full] / 2)
             self.counts[full] = half
             self.totals[full] = half.sum(1)
-        good = self.w * (had / np.maximum(self.n, 1))
-        total = good[0] + good[1] + good[2]
-        share = np.where(total > 0, good / np.maximum(total, np.float32(1e-9)), self.w)
-        self.weights[:, self.set] = np.maximum(self.w + (share - self.w) * _RATE, _FLOOR)
+        good = self.w * ((had + _PRIOR / np.float32(16)) / self.trust)
+        share = good / (good[0] + good[1] + good[2])
+        self.weights[self.set] = np.maximum(self.w + (share - self.w) * _RATE, _FLOOR)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -158,7 +158,8 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> np.ndarray:
             total = sums[:, 15]
             step = span // total.astype(np.uint64)
             value = np.minimum((code // step).astype(np.float32), total - 1)
-            digit = np.bitwise_count(np.packbits(sums <= value[:, None], axis=1).view(np.uint16).ravel()).astype(np.int64)
+            upto = np.bitwise_count((sums <= value[:, None]).view(np.uint64))  # of sixteen bytes that are 0 or 1
+            digit = (upto[:, 0] + upto[:, 1]).astype(np.int64)
             size = model.size(digit)
             code -= step * (sums.take(model.rows + digit) - size).astype(np.uint64)
             span = step * size.astype(np.uint64)

@@ -17,7 +17,7 @@ from ..operators import profile, quantize, raster, score, search, segment, topol
 from ..sources import pixels as px
 from ..sources import scenes
 from ..streaming import requests
-from . import trace
+from . import report, trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -557,6 +557,12 @@ def render_roundtrip(spark, sf_dir):
     return rounded(trace.score(trace.dense(scenes.suite(spark)), {"logo": config.PRESETS["logo"].with_(output__recolor_regions=True)}).drop("config"), 3)
 
 
+@query()
+def bench_suite(spark, sf_dir):
+    """The scenes' match, ceiling and gap, and their summary in the last row."""
+    return rounded(report.suite(spark, config.PRESETS["logo"].with_(output__recolor_regions=True)), 3)
+
+
 @query()
 def auto_select(spark, sf_dir):
     images = trace.dense(px.tiles(table(spark, sf_dir, "embeddings").where("vec_id < 4"), grey=True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..sources import pixels as px
-from .raster import COLUMN, KEY, ROW
+from .raster import KEY, along_column, along_row
 
 
 def profile(pixels: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def profile(pixels: DataFrame) -> DataFrame:
     colours = known.where(index % F.greatest(F.floor(F.col("n") / 200_000), F.lit(1)) == 0).groupBy("image_id").agg(F.count_distinct(five[0] * 1024 + five[1] * 32 + five[2]).alias("unique_colors"))
     alphas = pixels.groupBy("image_id").agg(F.bool_or(F.col("a") < 0.999).alias("has_alpha"))
     rgb = F.struct(*"rgb")
-    near = pixels.select(*KEY, rgb.alias("c"), F.lag(rgb).over(ROW).alias("l"), F.lead(rgb).over(ROW).alias("r"), F.lag(rgb).over(COLUMN).alias("u"), F.lead(rgb).over(COLUMN).alias("d"))
+    near = pixels.select(*KEY, rgb.alias("c"), F.lag(rgb).over(along_row()).alias("l"), F.lead(rgb).over(along_row()).alias("r"), F.lag(rgb).over(along_column()).alias("u"), F.lead(rgb).over(along_column()).alias("d"))
     luma = lambda s: colour.luma(*(F.col(f"{s}.{c}") for c in "rgb"))
     inside = near.where("l is not null and r is not null and u is not null and d is not null").join(sizes, "image_id")
     inside = inside.where((F.col("y") - 1) % F.greatest(F.floor(F.col("height") / 400), F.lit(1)) == 0)

@@ -16,8 +16,15 @@ from ..functions import colour
 from ..sources import pixels as px
 
 KEY = ["image_id", "y", "x"]
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+
+def along_row():
+    """A window over an image's row; made when asked for, as windows need a session."""
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def _all(window):
@@ -112,13 +119,13 @@ def flatness(pixels: DataFrame) -> DataFrame:
     """image_id, y, x, w: near 1 in flat areas, near 0 on edges (Sobel, the strongest channel); 1 for images under 3 x 3."""
     across = pixels.select(
         *KEY,
-        *((shifted(F.col(c), 1, ROW) - shifted(F.col(c), -1, ROW)).alias(f"d{c}") for c in "rgb"),
-        *((shifted(F.col(c), -1, ROW) + F.col(c) * 2 + shifted(F.col(c), 1, ROW)).alias(f"s{c}") for c in "rgb"),
-        F.count("*").over(_all(ROW)).alias("width"),
+        *((shifted(F.col(c), 1, along_row()) - shifted(F.col(c), -1, along_row())).alias(f"d{c}") for c in "rgb"),
+        *((shifted(F.col(c), -1, along_row()) + F.col(c) * 2 + shifted(F.col(c), 1, along_row())).alias(f"s{c}") for c in "rgb"),
+        F.count("*").over(_all(along_row())).alias("width"),
     )
-    gx = lambda c: shifted(F.col(f"d{c}"), -1, COLUMN) + F.col(f"d{c}") * 2 + shifted(F.col(f"d{c}"), 1, COLUMN)
-    gy = lambda c: shifted(F.col(f"s{c}"), 1, COLUMN) - shifted(F.col(f"s{c}"), -1, COLUMN)
-    edges = across.select(*KEY, "width", F.count("*").over(_all(COLUMN)).alias("height"), *(F.sqrt(gx(c) * gx(c) + gy(c) * gy(c)).alias(f"g{c}") for c in "rgb"))
+    gx = lambda c: shifted(F.col(f"d{c}"), -1, along_column()) + F.col(f"d{c}") * 2 + shifted(F.col(f"d{c}"), 1, along_column())
+    gy = lambda c: shifted(F.col(f"s{c}"), 1, along_column()) - shifted(F.col(f"s{c}"), -1, along_column())
+    edges = across.select(*KEY, "width", F.count("*").over(_all(along_column())).alias("height"), *(F.sqrt(gx(c) * gx(c) + gy(c) * gy(c)).alias(f"g{c}") for c in "rgb"))
     g = F.greatest("gr", "gg", "gb") * 0.25 / 0.12
     return edges.select(*KEY, F.when((F.col("width") < 3) | (F.col("height") < 3), 1.0).otherwise(F.exp(-(g * g))).alias("w"))
 
@@ -131,7 +138,7 @@ def gaussian_kernel(sigma: float, radius: int) -> list[float]:
 def blur(table: DataFrame, columns: list[str], sigma: float = 1.5, radius: int = 5) -> DataFrame:
     """Separable Gaussian over the named columns, edges clamped."""
     kernel = gaussian_kernel(sigma, radius)
-    for window in (ROW, COLUMN):
+    for window in (along_row(), along_column()):
         sums = [sum((shifted(F.col(c), i - radius, window) * k for i, k in enumerate(kernel)), F.lit(0.0)).alias(c) for c in columns]
         table = table.select(*KEY, *sums)
     return table

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import regions as kernel
-from .raster import COLUMN, KEY, ROW
+from .raster import KEY, along_column, along_row
 
 OUTSIDE = -1
 
@@ -30,8 +30,8 @@ def components(labels: DataFrame) -> DataFrame:
 
 def neighbours(table: DataFrame, column: str) -> DataFrame:
     """image_id and the pairs (p, q) of values of a column in pixels next to each other, each pair of pixels once."""
-    right = table.select("image_id", F.col(column).alias("p"), F.lead(column).over(ROW).alias("q"))
-    below = table.select("image_id", F.col(column).alias("p"), F.lead(column).over(COLUMN).alias("q"))
+    right = table.select("image_id", F.col(column).alias("p"), F.lead(column).over(along_row()).alias("q"))
+    below = table.select("image_id", F.col(column).alias("p"), F.lead(column).over(along_column()).alias("q"))
     return right.unionAll(below).where("q is not null")
 
 

@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import COLUMN, ROW
+from .raster import along_column, along_row
 from .segment import OUTSIDE
 
 
 def cracks(regions: DataFrame) -> DataFrame:
     """image_id, kind, x, y, left, right: the sides when walked from the first node to the second."""
     inside = F.lit(OUTSIDE)
-    above = F.coalesce(F.lag("region").over(COLUMN), inside)
-    before = F.coalesce(F.lag("region").over(ROW), inside)
+    above = F.coalesce(F.lag("region").over(along_column()), inside)
+    before = F.coalesce(F.lag("region").over(along_row()), inside)
     h = regions.select("image_id", F.lit("H").alias("kind"), "x", "y", above.alias("left"), F.col("region").alias("right"))
     v = regions.select("image_id", F.lit("V").alias("kind"), "x", "y", F.col("region").alias("left"), before.alias("right"))
-    last_row = regions.withColumn("end", F.lead("region").over(COLUMN).isNull()).where("end")
-    last_column = regions.withColumn("end", F.lead("region").over(ROW).isNull()).where("end")
+    last_row = regions.withColumn("end", F.lead("region").over(along_column()).isNull()).where("end")
+    last_column = regions.withColumn("end", F.lead("region").over(along_row()).isNull()).where("end")
     bottom = last_row.select("image_id", F.lit("H"), "x", F.col("y") + 1, "region", inside)
     side = last_column.select("image_id", F.lit("V"), F.col("x") + 1, "y", inside, "region")
     return h.unionAll(bottom).unionAll(v).unionAll(side).where(F.col("left") != F.col("right"))

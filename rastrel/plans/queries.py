@@ -300,8 +300,8 @@ def scoring_reference(spark, sf_dir):
 
 @query()
 def transparent_keys(spark, sf_dir):
-    p = quantize.mark_transparent(_palettes(spark, sf_dir).limit(1), KEYS, 20.0)
-    return p.select(F.explode("palette").alias("p")).select("p.entry", "p.transparent")
+    p = quantize.mark_transparent(_palettes(spark, sf_dir), KEYS, 20.0)
+    return p.select(F.explode("palette").alias("p")).groupBy("p.entry", "p.transparent").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PX}, {_ENTRIES}, {_L5}, {_NEAREST} SELECT image_id, label AS entry, count(*) AS n, round(sum(l_ * (0.5 + r)) / sum(0.5 + r), 4) AS l, round(sum(a_ * (0.5 + r)) / sum(0.5 + r), 4) AS a, round(sum(b_ * (0.5 + r)) / sum(0.5 + r), 4) AS b FROM ne JOIN l5 USING (image_id, y, x) GROUP BY 1, 2")
@@ -565,7 +565,8 @@ def bench_suite(spark, sf_dir):
 
 @query()
 def auto_select(spark, sf_dir):
-    images = trace.dense(px.tiles(table(spark, sf_dir, "embeddings").where("vec_id < 4"), grey=True))
+    """The search's best settings for one scene; it takes dozens of traces an image."""
+    images = trace.dense(scenes.render(spark, scenes.SUITE[0]))
     return rounded(trace.auto_select(images, keep=3, max_seeds=3, rounds=1, refine_top=1).drop("config"), 3)
 
 

@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
 Examples are at most `examples` labelled documents of each class, chosen by a hash of doc_id. The terms are those that
-the examples tie to toxicity (log-likelihood ratio at or above `evidence`, in at least `least` different texts, and after at
-least half as many different words as it has toxic texts, which terms of one copied passage aren't), at most `terms` of
-them; a document's vector has (1 + log count) * idf for each, with document counts over all documents, and
-length 1. Examples lie in blocks of `block`; for each term and block the index keeps the largest weight, so a block whose
+the examples tie to toxicity: log-likelihood ratio at or above `evidence`, `lift` times as frequent in toxic examples, which
+common words aren't, in at least `least` different texts, and after at least half as many different words as it has
+toxic texts, which terms of one copied passage aren't. At most `terms` are kept. A document's vector has
+(1 + log count) * idf for each, with document counts over all documents, and length 1. Examples lie in blocks of `block`; for each term and block the index keeps the largest weight, so a block whose
 sum of largest weights can't reach the k-th best similarity found is left out, and the k nearest are exact. Equal
 similarities go to the example that comes first.
 
@@ -39,6 +39,7 @@ class Shape:
     terms: int = 2048
     least: int = 5
     evidence: float = 15.0
+    lift: float = 3.0
     block: int = 64
     k: int = 15
 
@@ -185,7 +186,7 @@ def choose_terms(examples: DataFrame, sizes: tuple[int, int], shape: Shape) -> l
     ea, eb = (a + b) * toxic / n, (a + b) * clean / n
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, ea) + part(b, eb) + part(toxic - a, toxic - ea) + part(clean - b, clean - eb))
-    good = both.where((a + b >= shape.least) & (a / toxic > b / clean)).select("term", "a", ratio.alias("g")).where(F.col("g") >= shape.evidence)
+    good = both.where((a + b >= shape.least) & ((a + 0.5) / toxic >= (b + 0.5) / clean * shape.lift)).select("term", "a", ratio.alias("g")).where(F.col("g") >= shape.evidence)
     tied = [(r["term"], r["a"]) for r in good.orderBy(F.desc("g"), "term").limit(2 * shape.terms).collect()]
     if not tied:
         return []

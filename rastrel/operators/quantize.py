@@ -54,8 +54,10 @@ def nearest(lab: Column, palette: Column) -> Column:
 
 def assign(pixels: DataFrame, palettes: DataFrame, alpha: float = 0.5) -> DataFrame:
     """image_id, y, x, label: the nearest entry by 5-bit Lab; the alpha slot, numbered after the entries, where a <= alpha."""
-    both = pixels.join(palettes.select("image_id", "palette"), "image_id")
-    label = F.when(F.col("a") <= alpha, F.size("palette")).otherwise(nearest(colour.lab5(*px.rgb()), F.col("palette")))
+    # Lab is a column of its own: inside the search it would be computed again for each entry
+    labs = pixels.select("image_id", "y", "x", "a", colour.lab5(*px.rgb()).alias("lab"))
+    both = labs.join(palettes.select("image_id", "palette"), "image_id")
+    label = F.when(F.col("a") <= alpha, F.size("palette")).otherwise(nearest(F.col("lab"), F.col("palette")))
     return both.select("image_id", "y", "x", label.cast("int").alias("label"))
 
 

@@ -77,6 +77,26 @@ def test_block_max_search_is_exact():
     assert np.mean(read) < 0.5 * postings
 
 
+def test_all_terms_of_the_examples_are_in_the_cosine(spark):
+    """Toxic texts known only by a word too rare to be listed, and similarities as brute force has them."""
+    rng = random.Random(5)
+    shared = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*rng.choices(shared, k=15), *([f"rare{i // 4}x"] * 3 if i < 40 else [f"calm{i // 4}x"] * 3)]), 1) for i in range(200)]
+    table = spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "doc_id long, toxic int")
+    held = (F.col("doc_id") % 4) == 0
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, DOCS), table, ~held, toxicity.Shape(common=7)).collect()}
+    assert all(not r["terms"] for r in got.values())
+    assert np.mean([(got[i]["score"] >= 0.5) == (i < 40) for i in range(0, 200, 4)]) > 0.9
+    bags = {i: dict(zip(*np.unique(t.split(), return_counts=True))) for i, t, _ in rows}
+    space = {w for i in bags if i % 4 for w in bags[i]}
+    idf = {w: np.log(201 / (sum(w in b for b in bags.values()) + 1)) + 1 for w in space}
+    vector = lambda b: {w: (1 + np.log(c)) * idf[w] / np.sqrt(sum(((1 + np.log(n)) * idf[v]) ** 2 for v, n in b.items() if v in space)) for w, c in b.items() if w in space}
+    vectors = {i: vector(b) for i, b in bags.items()}
+    for i in (0, 4, 100):
+        every = sorted((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in bags if j % 4), reverse=True)
+        assert np.allclose(got[i]["similarities"], every[:15])
+
+
 def test_isotonic_fit():
     x, p = toxicity.isotonic(np.array([0, 0, 1, 2, 3.0]), np.array([0, 1, 0, 1, 1.0]), np.full(5, 100.0))
     assert (np.diff(p) >= 0).all() and np.interp(0, x, p) == np.interp(1, x, p) and np.interp(3, x, p) == 1

@@ -565,9 +565,8 @@ def bench_suite(spark, sf_dir):
 
 @query()
 def auto_select(spark, sf_dir):
-    """The search's best settings for one scene; it takes dozens of traces an image."""
-    images = trace.dense(scenes.render(spark, scenes.SUITE[0]))
-    return rounded(trace.auto_select(images, keep=3, max_seeds=3, rounds=1, refine_top=1).drop("config"), 3)
+    """The search's best settings for every tile, with the operator's defaults; it takes over a hundred traces a tile."""
+    return rounded(trace.auto_select(_tile_images(spark, sf_dir)).drop("config"), 3)
 
 
 @query(f"WITH RECURSIVE {REGIONS} SELECT image_id, count(DISTINCT region) AS regions, round(64.0 / count(DISTINCT region), 5) AS mean_area FROM rg GROUP BY 1")

@@ -57,8 +57,9 @@ def main(argv: list[str] | None = None) -> int:
         folder = pathlib.Path(args.folder)
         folder.mkdir(parents=True, exist_ok=True)
         for s in scenes.SUITE:
-            (folder / f"{s.name}.svg").write_text(s.svg())
-            (folder / f"{s.name}.png").write_bytes(paint.png(paint.rasterise(s.svg(), s.supersample)))
+            if s.svg():
+                (folder / f"{s.name}.svg").write_text(s.svg())
+            (folder / f"{s.name}.png").write_bytes(paint.png(paint.rasterise(s.svg(), s.supersample) if s.svg() else s.make()))
         return 0
     from .kernels import paint
     from .plans import report, trace
@@ -67,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(args.cores)
     if args.command == "bench":
         rows = report.suite(spark, chosen(args)).cache()
-        rows.show(50, False)
+        rows.orderBy("place").drop("place").show(50, False)
         report.summary(rows).show(1, False)
         return 0
     images = pixels.read_images(spark, args.image)

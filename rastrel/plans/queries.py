@@ -559,8 +559,8 @@ def render_roundtrip(spark, sf_dir):
 
 @query()
 def bench_suite(spark, sf_dir):
-    """The scenes' match, ceiling and gap, and their summary in the last row."""
-    return rounded(report.suite(spark, config.PRESETS["logo"].with_(output__recolor_regions=True)), 3)
+    """The images' match, ceiling and gap, and their summary in the last row."""
+    return rounded(report.with_summary(report.suite(spark, config.PRESETS["logo"].with_(output__recolor_regions=True))), 3)
 
 
 @query()

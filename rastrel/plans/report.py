@@ -50,13 +50,13 @@ def candidates_json(candidates: Iterable[dict], target: float) -> str:
 
 
 def suite(spark: SparkSession, config: Config, threshold: float = 2.0) -> DataFrame:
-    """name, match_pct, ceiling_pct, gap, mean_de, points, bytes of each benchmark scene.
+    """place, name, match_pct, ceiling_pct, gap, mean_de, points, bytes of each image of the benchmark suite.
 
-    The ceiling is the score of the scene's exact geometry drawn by the same painter.
+    The ceiling is the score of the scene's exact geometry drawn by the same painter; a picture has no ceiling and no gap.
     """
     scored = trace.score(trace.dense(scenes.suite(spark)), {"suite": config}, threshold)
-    drawn = trace.dense(scenes.suite(spark))
-    ideal = {i: s.svg() for i, s in enumerate(scenes.SUITE)}
+    ideal = {i: s.svg() for i, s in enumerate(scenes.SUITE) if s.svg()}
+    drawn = trace.dense(scenes.suite(spark)).where(F.col("image_id").isin(*ideal))
     names = F.create_map(*(F.lit(v) for i, s in enumerate(scenes.SUITE) for v in (i, s.name)))
 
     def ceilings(frames):
@@ -65,8 +65,8 @@ def suite(spark: SparkSession, config: Config, threshold: float = 2.0) -> DataFr
             yield frame[["image_id"]].assign(ceiling_pct=best)
 
     top = drawn.mapInPandas(ceilings, "image_id long, ceiling_pct double")
-    both = scored.join(top, "image_id")
-    return both.select(names[F.col("image_id").cast("int")].alias("name"), "match_pct", "ceiling_pct", (F.col("ceiling_pct") - F.col("match_pct")).alias("gap"), "mean_de", "points", "bytes")
+    both = scored.join(top, "image_id", "left")
+    return both.select(F.col("image_id").alias("place"), names[F.col("image_id").cast("int")].alias("name"), "match_pct", "ceiling_pct", (F.col("ceiling_pct") - F.col("match_pct")).alias("gap"), "mean_de", "points", "bytes")
 
 
 def summary(rows: DataFrame, target: float = 99.0) -> DataFrame:
@@ -74,6 +74,14 @@ def summary(rows: DataFrame, target: float = 99.0) -> DataFrame:
     return rows.agg(F.count("*").alias("cases"), F.sum((F.col("match_pct") >= target).cast("int")).alias("at_target"), F.avg("match_pct").alias("mean_match"), F.sum("points").alias("points"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("worst_gap"))
 
 
+def with_summary(rows: DataFrame, target: float = 99.0) -> DataFrame:
+    """The suite's rows in order, then the summary: numbers of cases and of those at target, means, sums, worst gap."""
+    numbers = [F.avg(c).alias(c) for c in ("match_pct", "ceiling_pct", "gap", "mean_de")] + [F.sum(c).alias(c) for c in ("points", "bytes")]
+    out = rows.rollup("place").agg(F.max("name").alias("name"), *numbers, F.max("gap").alias("worst_gap"), F.count("*").alias("cases"), F.sum((F.col("match_pct") >= target).cast("int")).alias("at_target"))
+    named = out.withColumn("name", F.when(F.col("place").isNull(), "summary").otherwise(F.col("name")))
+    return named.orderBy(F.col("place").asc_nulls_last()).drop("place")
+
+
 def difference_png(original: np.ndarray, rendered: np.ndarray, gain: float = 4.0) -> bytes:
     """Amplified absolute difference, opaque."""
     apart = np.minimum(abs(original[..., :3] - rendered[..., :3]) * gain, 1)

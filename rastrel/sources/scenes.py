@@ -1,4 +1,4 @@
-"""Synthetic scenes: polygons, discs and rings in painter's order, rendered by supersampling; the benchmark suite.
+"""Synthetic scenes: polygons, discs and rings in painter's order, rendered by supersampling; pictures; the benchmark suite.
 
 render() is one declarative plan: a row for each sample, the scene's items folded in order, a mean for each pixel.
 """
@@ -6,9 +6,11 @@ render() is one declarative plan: a row for each sample, the scene's items folde
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +79,71 @@ def box(x0: float, y0: float, x1: float, y1: float) -> tuple:
     return ((x0, y0), (x1, y0), (x1, y1), (x0, y1))
 
 
-#: The scenes with known geometry of the benchmark suite.
+@dataclass(frozen=True)
+class Picture:
+    """A benchmark image that has no ideal geometry; make gives its pixels, 0..1."""
+
+    name: str
+    width: int
+    height: int
+    make: Callable[[], np.ndarray]
+
+    def svg(self) -> None:
+        return None
+
+
+def pixel_art() -> np.ndarray:
+    """128 x 128: cells of 8 pixels, five colours from the random stream."""
+    from ..kernels.palette import Stream
+
+    stream, colours = Stream(0xA11CE), np.array([(0.10, 0.10, 0.15), (0.85, 0.25, 0.25), (0.95, 0.85, 0.40), (0.20, 0.55, 0.85), (0.95, 0.95, 0.95)])
+    cells = colours[[stream.below(5) for _ in range(256)]].reshape(16, 16, 3)
+    return np.dstack([np.kron(cells, np.ones((8, 8, 1))), np.ones((128, 128))])
+
+
+def gradient(width: int = 160, height: int = 120) -> np.ndarray:
+    fx, fy = np.meshgrid(np.arange(width) / (width - 1), np.arange(height) / (height - 1))
+    return np.dstack([0.15 + 0.7 * fx, 0.25 + 0.5 * fy, 0.85 - 0.5 * fx, np.ones_like(fx)])
+
+
+def add_noise(image: np.ndarray, amount: float, seed: int) -> np.ndarray:
+    """Uniform noise on r, g and b from the random stream, by rows."""
+    from ..kernels.palette import Stream
+
+    stream, out = Stream(seed), image.copy()
+    draws = np.array([stream.unit() for _ in range(3 * image.shape[0] * image.shape[1])])
+    out[..., :3] = np.clip(out[..., :3] + (2 * draws.reshape(*image.shape[:2], 3) - 1) * amount, 0, 1)
+    return out
+
+
+def add_block_artifacts(image: np.ndarray, strength: float) -> np.ndarray:
+    """Ringing like JPEG's: each 8 x 8 block's detail is raised about the block's mean, less a share of large differences."""
+    out = image.copy()
+    for y in range(0, image.shape[0], 8):
+        for x in range(0, image.shape[1], 8):
+            cell = image[y : y + 8, x : x + 8, :3]
+            mean = cell.mean((0, 1))
+            d = cell - mean
+            out[y : y + 8, x : x + 8, :3] = np.clip(mean + d * (1 + strength) - np.copysign(1, d) * strength * 0.12 * np.minimum(abs(d), 0.5), 0, 1)
+    return out
+
+
+def noisy_shapes() -> np.ndarray:
+    """180 x 140: a box and a star, eight samples a side of each pixel, with block artefacts and noise."""
+    w, h, s = 180, 140, 8
+    x, y = np.meshgrid((np.arange(w * s) + 0.5) / s, (np.arange(h * s) + 0.5) / s)
+    top = np.full((h * s, w * s, 3), 250 / 255)
+    for points, colour in ((box(20, 20, 84, 120), (40, 40, 120)), (star(130, 70, 44, 19, 5), (220, 120, 30))):
+        odd = np.zeros(x.shape, bool)
+        for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+            if ay != by:
+                odd ^= ((ay > y) != (by > y)) & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax)
+        top[odd] = np.array(colour) / 255
+    clean = np.dstack([top.reshape(h, s, w, s, 3).mean((1, 3)), np.ones((h, w))])
+    return add_noise(add_block_artifacts(clean, 0.35), 0.02, 0x5A17)
+
+
+#: The benchmark suite; scenes have a known geometry, pictures have none.
 SUITE = (
     Scene("hard-rects", 160, 120, (255, 255, 255), (Item("polygon", box(20, 20, 100, 70), (30, 60, 180)), Item("polygon", box(70, 50, 140, 100), (220, 60, 40))), 1),
     Scene("aa-circle", 160, 160, (250, 250, 245), (Item("disc", (80.3, 79.7, 52.4), (25, 110, 190)),)),
@@ -96,12 +162,29 @@ SUITE = (
         "logo", 200, 200, (255, 255, 255),
         (Item("polygon", regular(100, 100, 86, 6, 0.3), (28, 42, 92)), Item("polygon", regular(100, 100, 58, 3, -0.4), (240, 200, 40)), Item("disc", (100, 118, 24), (220, 60, 50))),
     ),
+    Picture("pixel-art", 128, 128, pixel_art),
+    Picture("noisy-shapes", 180, 140, noisy_shapes),
     Scene("alpha", 140, 140, None, (Item("disc", (60, 70, 40), (200, 50, 90)), Item("polygon", regular(95, 75, 38, 5, 0.2), (40, 150, 180)))),
+    Picture("gradient", 160, 120, gradient),
 )
 
 
-def render(spark: SparkSession, scene: Scene, image_id: int = 0) -> DataFrame:
+def drawn(spark: SparkSession, picture: Picture, image_id: int = 0) -> DataFrame:
+    """The picture's pixels, made on an executor."""
+
+    def run(frames):
+        for frame in frames:
+            for _ in range(len(frame)):
+                y, x = np.divmod(np.arange(picture.width * picture.height), picture.width)
+                yield pd.DataFrame({"image_id": image_id, "y": y, "x": x, **dict(zip("rgba", picture.make().reshape(-1, 4).T))})
+
+    return spark.range(1).mapInPandas(run, "image_id long, y int, x int, r double, g double, b double, a double")
+
+
+def render(spark: SparkSession, scene: Scene | Picture, image_id: int = 0) -> DataFrame:
     """Pixels by the mean of supersample x supersample samples, each item laid over the last in gamma space."""
+    if isinstance(scene, Picture):
+        return drawn(spark, scene, image_id)
     s, w, h = scene.supersample, scene.width, scene.height
     i = F.col("id")
     samples = spark.range(w * h * s * s).select((i % (w * s)).alias("sx"), F.floor(i / (w * s)).alias("sy"))
@@ -124,27 +207,3 @@ def suite(spark: SparkSession) -> DataFrame:
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
-
-
-def pixel_art() -> np.ndarray:
-    """128 x 128: cells of 8 pixels, five colours from the random stream."""
-    from ..kernels.palette import Stream
-
-    stream, colours = Stream(0xA11CE), np.array([(0.10, 0.10, 0.15), (0.85, 0.25, 0.25), (0.95, 0.85, 0.40), (0.20, 0.55, 0.85), (0.95, 0.95, 0.95)])
-    cells = colours[[stream.below(5) for _ in range(256)]].reshape(16, 16, 3)
-    return np.dstack([np.kron(cells, np.ones((8, 8, 1))), np.ones((128, 128))])
-
-
-def gradient(width: int = 160, height: int = 120) -> np.ndarray:
-    fx, fy = np.meshgrid(np.arange(width) / (width - 1), np.arange(height) / (height - 1))
-    return np.dstack([0.15 + 0.7 * fx, 0.25 + 0.5 * fy, 0.85 - 0.5 * fx, np.ones_like(fx)])
-
-
-def add_noise(image: np.ndarray, amount: float, seed: int) -> np.ndarray:
-    """Uniform noise on r, g and b from the random stream, by rows."""
-    from ..kernels.palette import Stream
-
-    stream, out = Stream(seed), image.copy()
-    draws = np.array([stream.unit() for _ in range(3 * image.shape[0] * image.shape[1])])
-    out[..., :3] = np.clip(out[..., :3] + (2 * draws.reshape(*image.shape[:2], 3) - 1) * amount, 0, 1)
-    return out

@@ -13,6 +13,22 @@ def test_texts():
     assert report.suggested_key(np.zeros((2, 2, 4))) == "#ffffff"
 
 
+def test_suite_has_eleven_images_and_a_summary(spark, tmp_path):
+    from rastrel.plans import queries
+    from rastrel.sources import scenes
+
+    assert main(["gen", str(tmp_path)]) == 0 and len(list(tmp_path.glob("*.png"))) == 11 and len(list(tmp_path.glob("*.svg"))) == 8
+    *rows, last = queries.QUERIES["bench_suite"](spark, "").collect()
+    assert [r["name"] for r in rows] == "hard-rects aa-circle slants junctions star rings logo pixel-art noisy-shapes alpha gradient".split()
+    assert {r["name"] for r in rows if r["ceiling_pct"] is None and r["gap"] is None} == {"pixel-art", "noisy-shapes", "gradient"}
+    assert last["name"] == "summary" and last["cases"] == 11 and last["points"] == sum(r["points"] for r in rows)
+    assert last["at_target"] == sum(r["match_pct"] >= 99 for r in rows) and abs(last["match_pct"] - np.mean([r["match_pct"] for r in rows])) < 2e-3
+    assert last["worst_gap"] == max(r["gap"] for r in rows if r["gap"] is not None)
+    noisy = scenes.noisy_shapes()
+    assert noisy.shape == (140, 180, 4) and abs(noisy[60, 50, :3] - np.array((40, 40, 120)) / 255).max() < 0.03
+    assert sum(r["points"] > 0 for r in queries.QUERIES["trace_scenes"](spark, "").collect()) == 11
+
+
 def test_commands(spark, tmp_path, capsys):
     image = np.ones((20, 24, 4))
     image[4:12, 5:18, :3] = (0.8, 0.2, 0.1)

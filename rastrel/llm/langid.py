@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import batches
+from . import batches, common
 
 #: Families of languages by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -142,29 +142,33 @@ def _slope(margins: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame, sample: int = 1600, dims: int = 4096) -> Model:
-    """labelled: text, lang. At most `sample` rows reach the driver, as vectors."""
+    """labelled: text, lang. At most `sample` different texts (two of each language at least) reach the driver, as vectors."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    keys = common.table(known.select("lang", F.xxhash64("text").alias("digest")).distinct(), "digests")
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     empty = Model([], [], [], np.zeros((dims, 0), np.float32), np.zeros(0), (1.0, 1.0), dims)
     if not sizes:
         return empty
-    each, turn = max(2, sample // len(sizes)), F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 20))
-    share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, 1.3 * each / n + 1e-4) * (1 << 20)))))
-    chosen = known.where(turn < share[F.col("lang")])
+    # of each language a few more different texts than needed are drawn, and the first `each` of these in another order are taken
+    each, turn = max(2, sample // len(sizes)), F.pmod(F.xxhash64(F.lit(17), "digest"), F.lit(1 << 40))
+    share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, (1.3 * each + 40) / n) * (1 << 40)))))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(18), "digest"), "digest")
+    picked = keys.where(turn < share[F.col("lang")]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    texts = known.withColumn("digest", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "digest"])
+    chosen = texts.groupBy("lang", "digest", "place").agg(F.first("text").alias("text"))
 
     def run(given):
         for batch in batches.slices(given, "text"):
             vectors = [features(normal(t), dims).tobytes() for t in batches.strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("turn"), pa.array(vectors, pa.binary())], ["lang", "turn", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(vectors, pa.binary())], ["lang", "place", "x"])
 
-    rows = chosen.withColumn("turn", F.xxhash64(F.lit(18), "text")).mapInArrow(run, "lang string, turn long, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["turn"]))
+    rows = chosen.select("lang", "place", "text").mapInArrow(run, "lang string, place int, x binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"]))
     taken: dict[str, list] = {}
     for r in rows:
-        if len(own := taken.setdefault(r["lang"], [])) < each:
-            own.append(np.frombuffer(r["x"], np.float32))
-    langs = sorted(taken)
+        taken.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.float32))
     del rows
+    langs = sorted(taken)
     x = np.array([v for a in langs for v in taken[a]], np.float32)
     y = np.array([a for a in langs for _ in taken[a]])
     del taken

@@ -55,3 +55,19 @@ def test_separable_classes_are_separated():
     y = np.array([1.0] * 50 + [-1.0] * 90)
     w, b = langid.svm(x, y)
     assert (np.sign(x @ w + b) == y).all()
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """A text with many copies is one of the texts learnt from, and at most `sample` texts are collected."""
+    import numpy as np
+
+    from rastrel.llm import langid
+
+    words = {"en": "the house and river with many green hills", "de": "das haus und der fluss mit vielen huegeln"}
+    rows = [(f"{words[k]} {chr(97 + i // 26)}{chr(97 + i % 26) * 3}", k) for k in words for i in range(60)] + [("the one copied text of them all", "en")] * 900
+    seen, own = [], langid.svm
+    monkeypatch.setattr(langid, "svm", lambda x, y: (seen.append(x), own(x, y))[1])
+    langid.train(spark.createDataFrame(rows, "text string, lang string"), sample=40)
+    assert seen and all(len(np.unique(x, axis=0)) == len(x) <= 40 for x in seen)
+    model = langid.train(spark.createDataFrame(rows[-900:] + rows[:10] + rows[60:70], "text string, lang string"), sample=40)
+    assert model.langs == ["de", "en"] and seen[-1].shape[0] <= 21

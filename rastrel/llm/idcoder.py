@@ -1,24 +1,28 @@
 """Token ids in files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-An id of 16 bits is coded as four hexadecimal digits. For each digit three predictions are mixed: digit counts seen in
-this block after the digits so far alone (order 0), after them and the id before (order 1), and after them and the two
-ids before (order 2). Weights for each digit place and for which orders have seen their context follow how well each
-order predicted. The mixed frequencies drive a range coder with a 48-bit interval that sheds 16 bits at a time.
+Within a block each different id gets a slot when it is first seen. Three predictions of the next id are mixed: order 0,
+the counts of all slots seen so far; order 1, the slot that followed the last id before, with how often this came true;
+order 2, the same after the last two ids (hashed). A gate, adaptive and with a context for every pair of confidences, gives
+the weights: the probabilities that order 2 is right, that order 1 is, that order 0 must say, or that the id is new to the
+block. The mixed frequencies drive a range coder with a 48-bit interval that sheds 16 bits at a time: a step for the gate,
+then one among the counts of order 0, or among all ids up to the frame's largest for a new one. Counts of order 0 are
+brought up to date at fixed places, whenever the block has grown by an eighth; slots that came since count once.
 
 All state is reset at each block, so blocks are coded side by side: the arrays below have one lane for each block of a
-frame and go through the blocks in step. All arithmetic is on integers (float products stay below 2**24 and are exact),
-so any machine decodes what any other encoded.
+frame and go through the blocks in step. The coder's numbers are whole and below 2**53 in float64, and quotients are taken
+low enough that rounding can't show, so any machine decodes what any other encoded.
 
 A frame is a run of whole documents with all it takes to read it alone:
 
-    magic "RIDC" | version u16 | block ids u16 | documents u32 | blocks u32 | ids u64 | crc32 of all that follows u32
+    magic "RIDC" | version u16 | block ids u16 | documents u32 | blocks u32 | ids u64 | largest id u32 | crc32 of all the rest u32
     doc_id i64 each | null mark u8 each | ids u32 each | of each block: ids u32, bytes u32, crc32 of its ids u32 | blocks
 
 all little-endian but the coder's 16-bit digits. write() puts frames, in ascending doc_id order, into a table in the
 shared folder by Spark's commit protocol; read() decodes and checks every block and returns the documents.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come first; rows equal in doc_id are ordered by
-text; a document longer than a frame's usual size is one frame; an empty table gives no frames and no rows.
+text; a document longer than a frame's usual size is one frame; an empty table gives no frames and no rows; other columns of
+the documents, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,149 +39,231 @@ from pyspark.sql import functions as F
 from . import batches, common, tokens
 
 BLOCK = 2048
-FRAME_IDS = 1 << 21
-MAGIC, VERSION = b"RIDC", 1
-_HEAD = struct.Struct("<4sHHIIQI")
-
-_SLOTS = 9  # bits of a slot number of each order
-_STEP, _FULL = 32, 1024  # what an observation adds to a count; the total at which counts are halved
-_SCALE, _LEAST = np.float32(1 << 16), np.float32(16)  # the sum of mixed frequencies, about; the least of a digit
-_PRIOR = np.float32(32)  # counts that each context starts with, spread over all digits
-_RATE, _FLOOR = np.float32(1 / 32), np.float32(1 / 64)  # of the weights
-_TOP, _LOW = np.uint64(48), np.uint64(1 << 32)
-_SUMS = np.triu(np.ones((16, 16), np.float32))
-
-
-class _Model:
-    """The state of all lanes, fresh. Arrays of shape (3, lanes) have a row for each order."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.rows = lanes, np.arange(lanes, dtype=np.int64) * 16
-        self.base = np.arange(3 * lanes, dtype=np.int64).reshape(3, lanes) << _SLOTS
-        self.counts = np.zeros((3 * lanes << _SLOTS, 16), np.float32)  # whole numbers
-        self.flat, self.totals = self.counts.ravel(), np.zeros(3 * lanes << _SLOTS, np.float32)
-        self.weights = np.repeat(np.array([0.2, 0.3, 0.5], np.float32), lanes * 16)
-        self.sets = self.rows + np.arange(3, dtype=np.int64)[:, None] * (lanes * 16)
-        self.hash = np.zeros((3, lanes), np.uint32)
-        self.last = np.zeros(lanes, np.uint32)
-        self.next(self.last)
-
-    def next(self, ids: np.ndarray) -> None:
-        """Set the contexts of the ids after these."""
-        one, two = ids.astype(np.uint32), self.last
-        self.hash[1] = (one + np.uint32(1)) * np.uint32(2654435761)
-        self.hash[2] = (self.hash[1] ^ (two + np.uint32(7))) * np.uint32(2246822519)
-        self.last = one
-
-    def predict(self, place: int, prefix: np.ndarray) -> np.ndarray:
-        """Cumulative frequencies of the sixteen digits (inclusive), as exact integers in float32."""
-        node = (prefix.astype(np.uint32) + np.uint32(1 << 4 * place)) * np.uint32(3266489917)
-        self.at = self.base + ((self.hash ^ node) * np.uint32(668265263) >> np.uint32(32 - _SLOTS))
-        self.n = self.totals.take(self.at)
-        seen = self.n > 0
-        self.set = self.sets + (4 * place + 2 * seen[2] + seen[1])
-        self.w = self.weights.take(self.set)
-        self.trust = self.n + _PRIOR  # the prior's share of each order goes to all digits alike
-        m = np.floor(self.w * _SCALE / self.trust)
-        used = m * self.n
-        rest = np.maximum(np.floor((_SCALE - (used[0] + used[1] + used[2])) / np.float32(16)), 0) + _LEAST
-        self.mixed = np.einsum("kls,kl->ls", self.counts.take(self.at, axis=0), m)
-        self.mixed += rest[:, None]
-        return self.mixed @ _SUMS
-
-    def size(self, digit: np.ndarray) -> np.ndarray:
-        return self.mixed.take(self.rows + digit)
-
-    def update(self, digit: np.ndarray) -> None:
-        cell = (self.at << 4) + digit
-        had = self.flat.take(cell)
-        self.flat[cell] = had + np.float32(_STEP)
-        n = self.n + np.float32(_STEP)
-        self.totals[self.at] = n
-        full = self.at[n > _FULL]
+MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
+FRAME_IDS = 1 << 22
+MAGIC, VERSION = b"RIDC", 2
+_HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
+
+_TOP, _LOW, _DIGIT = 2.0**48, 2.0**32, 2.0**16
+_SAFE = 1 - 2.0**-50  # brings a rounded quotient below the true one
+_HASH = 11  # bits of an order-2 context
+_AGAIN = 8  # order 0 is counted again when a block has grown by this part
+
+
+def _packed(rows) -> np.ndarray:
+    """Four 16-bit numbers in each uint64, the first lowest."""
+    return np.array([sum(int(x) << 16 * i for i, x in enumerate(r)) for r in rows], np.uint64)
+
+
+# cumulative frequencies of the gate: order 2, order 1, order 0, new
+_START = _packed([(8, 16, 64, 112)])[0]
+_LEAST = _packed([(1, 2, 3, 4)])[0]
+_AFTER = _packed([[24 * (i >= k) for i in range(4)] for k in range(4)])
+_FULL, _HALF = np.uint64(1500 << 48), np.uint64(0x7FFF7FFF7FFF7FFF)
+#: What is added to (slot, confidence): a confidence of 2 or 3 falls by one on a miss, a hit raises it up to 3.
+_MOVE = np.array([0, 0, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
+
+
+class _Orders:
+    """Orders 1 and 2 (the rows of `at`) and the gate, of all lanes, fresh."""
+
+    def __init__(self, lanes: int, block: int):
+        lane = np.arange(lanes)
+        self.known = np.zeros(lanes * block + (lanes << _HASH), np.uint16)  # slot * 4 + confidence
+        self.base = np.stack([lane * block, lanes * block + (lane << _HASH)])
+        self.at = np.empty((2, lanes), np.int64)
+        self.gate, self.by_gate = np.full(lanes * 32, _START), lane * 32
+        self.last = self.before = np.zeros(lanes, np.int64)
+
+    def guess(self) -> np.ndarray:
+        """Predict the next slots; returns the gate's cumulative frequencies, packed."""
+        at = self.at
+        np.add(self.base[0], self.last, out=at[0])
+        np.bitwise_and(self.last * 0x9E35 + self.before * 0x1F7B >> 2, (1 << _HASH) - 1, out=at[1])
+        at[1] += self.base[1]
+        self.held = self.known.take(at)
+        self.slots, self.sure = self.held >> 2, self.held & 3
+        self.cell = self.by_gate + (self.sure[1] * 8 + self.sure[0] * 2 + (self.slots[0] == self.slots[1]))
+        self.bounds = self.gate.take(self.cell)
+        return self.bounds + _LEAST
+
+    def learn(self, kind: np.ndarray, slot: np.ndarray, short: np.ndarray) -> None:
+        """kind: which of the gate's four it was; slot, also as uint16: what came."""
+        bounds = self.bounds + _AFTER.take(kind)
+        full = np.flatnonzero(bounds > _FULL)
         if len(full):
-            half = np.floor(self.counts[full] / 2)
-            self.counts[full] = half
-            self.totals[full] = half.sum(1)
-        good = self.w * ((had + _PRIOR / np.float32(16)) / self.trust)
-        share = good / (good[0] + good[1] + good[2])
-        self.weights[self.set] = np.maximum(self.w + (share - self.w) * _RATE, _FLOOR)
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The payload of each block of `block` ids; the last may be shorter."""
-    lanes = -(-len(ids) // block)
-    steps = min(block, len(ids))
-    table = np.zeros((lanes, steps), np.int64)
+            bounds[full] = bounds[full] >> np.uint64(1) & _HALF
+        self.gate[self.cell] = bounds
+        case = (self.slots == short).view(np.uint8) * 4 + self.sure
+        self.known[self.at] = np.where(case > 1, self.held + _MOVE.take(case), short * np.uint16(4) + np.uint16(1))
+        self.before, self.last = self.last, slot
+
+
+class _Counts:
+    """Order 0 of all lanes: the counts up to some place, their sums below each slot, and (decoding) the slot of each unit."""
+
+    def __init__(self, lanes: int, block: int):
+        self.lane = np.arange(lanes)
+        self.counts, self.sums = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block + 1), np.uint16)
+        self.by_slot, self.by_sum, self.below = self.lane * block, self.lane * (block + 1), self.sums.ravel()
+        self.slot, self.by_unit = np.zeros(1, np.uint16), self.lane
+        self.used, self.units, self.next = np.zeros(lanes, np.int64), 0, 4
+
+    def again(self, recent: np.ndarray, used: np.ndarray, decoding: bool) -> None:
+        """recent: the slots since the last time, a row each step; used: how many slots there are."""
+        np.add.at(self.counts.ravel(), (recent + self.by_slot).ravel(), np.uint16(1))
+        most, self.units, self.used = int(used.max()), self.units + len(recent), used
+        counts = self.counts[:, :most]
+        np.cumsum(counts, axis=1, out=self.sums[:, 1 : most + 1], dtype=np.uint16)
+        if decoding:
+            slots = np.broadcast_to(np.arange(most, dtype=np.uint16), counts.shape)
+            self.slot, self.by_unit = np.repeat(slots.ravel(), counts.ravel()), self.lane * self.units
+        self.next = self.units + max(4, self.units // _AGAIN)
+
+
+def _numbered(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each id and whether it is new to its block, a row each step."""
+    first, back = np.zeros(1 << 16, np.int64), np.arange(table.shape[1])
+    slots, new = np.empty(table.shape, np.uint16), np.empty(table.shape, bool)
+    for i, ids in enumerate(table):
+        first[ids[::-1]] = back[::-1]
+        at = first.take(ids)
+        slots[i] = (np.cumsum(np.equal(at, back, out=new[i])) - 1).take(at)
+    return np.ascontiguousarray(slots.T), np.ascontiguousarray(new.T)
+
+
+def _checked(block: int) -> None:
+    if not 0 < block <= MOST_BLOCK:
+        raise ValueError(f"a block has 1 to {MOST_BLOCK} ids")
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = 0xFFFF) -> list[bytes]:
+    """The payload of each block of `block` ids; the last may be shorter. largest: no id is above it."""
+    _checked(block)
+    lanes, steps = -(-len(ids) // block), min(block, len(ids))
+    table = np.zeros((lanes, steps), np.uint16)
     table.ravel()[: len(ids)] = ids
+    slots, new = _numbered(table)
     table = np.ascontiguousarray(table.T)
-    model, low, span = _Model(lanes), np.zeros(lanes, np.uint64), np.full(lanes, 1, np.uint64) << _TOP
-    out, at = np.zeros((3 * steps + 4, lanes), np.uint32), np.zeros(lanes, np.int64)
-    for row in table:
-        for place in range(4):
-            digit = row >> (12 - 4 * place) & 15
-            sums = model.predict(place, row >> (16 - 4 * place))
-            upto, size = sums.take(model.rows + digit), model.size(digit)
-            step = span // sums[:, 15].astype(np.uint64)
-            low += step * (upto - size).astype(np.uint64)
-            span = step * size.astype(np.uint64)
+    orders, counts = _Orders(lanes, block), _Counts(lanes, block)
+    low, span, lane, used = np.zeros(lanes), np.full(lanes, _TOP), np.arange(lanes, dtype=np.uint32), np.zeros(lanes, np.int64)
+    out, owner, a = [], [], 0
+    while a < steps:  # to the next place where order 0 is counted: what doesn't depend on the step before, for all at once
+        z = min(steps, counts.next)
+        bounds, kind = np.empty((z - a, lanes), np.uint64), np.empty((z - a, lanes), np.uint8)
+        for i in range(z - a):
+            short = slots[a + i]
+            bounds[i] = orders.guess()
+            hit = orders.slots == short
+            kind[i] = np.where(hit[1], 0, 2 - hit[0])
+            kind[i][new[a + i]] = 3
+            orders.learn(kind[i], short.astype(np.int64), short)
+        slot, edges = slots[a:z], bounds.view(np.uint16)
+        at = np.arange(slot.size).reshape(slot.shape) * 4 + kind
+        under = np.where(kind > 0, edges.ravel().take(at - 1, mode="clip"), 0).astype(np.float64)
+        width, total = edges.ravel().take(at) - under, edges[:, 3::4].astype(np.float64)
+        by_count, novel = kind == 2, kind == 3
+        old, at, came = by_count & (slot < counts.used), counts.by_sum + slot, np.cumsum(novel, axis=0)
+        first = counts.below.take(at)
+        size = np.where(old, counts.below.take(at + 1) - first, 1).astype(np.float64)
+        begin = np.where(old, first, np.where(by_count, slot - counts.used + counts.units, np.where(novel, table[a:z], 0))).astype(np.float64)
+        whole = np.where(by_count, used + came - novel - counts.used + counts.units, np.where(novel, largest + 1, 1)).astype(np.float64)
+        used = used + came[-1]
+        for i in range(z - a):
+            step = np.floor(span / total[i] * _SAFE)
+            low += step * under[i]
+            span = step * width[i]
+            step = np.floor(span / whole[i] * _SAFE)
+            low += step * begin[i]
+            span = step * size[i]
             some = np.flatnonzero(span < _LOW)
-            if len(some):
-                out[at[some], some] = low[some] >> np.uint64(32)
-                at[some] += 1
-                low[some] = (low[some] & np.uint64(0xFFFFFFFF)) << np.uint64(16)
-                span[some] <<= np.uint64(16)
-            model.update(digit)
-        model.next(row)
-    lane = np.arange(lanes)
-    for shift in (32, 16, 0):
-        part = low >> np.uint64(shift)
-        out[at, lane] = part if shift == 32 else part & np.uint64(0xFFFF)
-        at += 1
-    for i in range(int(at.max()) - 1, 0, -1):
-        out[i - 1] += out[i] >> 16
-    digits = np.ascontiguousarray((out & 0xFFFF).astype(">u2").T)
-    return [digits[i, :n].tobytes() for i, n in enumerate(at.tolist())]
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> np.ndarray:
+            while len(some):
+                part = low.take(some)
+                top = np.floor(part / _LOW)
+                out.append(top.astype(np.uint32))
+                owner.append(lane.take(some))
+                low[some] = (part - top * _LOW) * _DIGIT
+                part = span.take(some) * _DIGIT
+                span[some] = part
+                some = some[part < _LOW]
+        if z < steps:
+            counts.again(slots[a:z], used, False)
+        a = z
+    for place in (_LOW, _DIGIT, 1.0):
+        part = np.floor(low / place)
+        out.append(part.astype(np.uint32))
+        owner.append(lane)
+        low -= part * place
+    owners = np.concatenate(owner)
+    digits = np.concatenate(out).take(np.argsort(owners.astype(np.uint16) if lanes < 1 << 16 else owners, kind="stable"))
+    while len(over := np.flatnonzero(digits >> 16)):  # carries; a lane's first digit has none
+        digits[over] &= 0xFFFF
+        digits[over - 1] += 1
+    ends = np.cumsum(np.bincount(owners, minlength=lanes))
+    return [x.tobytes() for x in np.split(digits.astype(">u2"), ends[:-1])]
+
+
+def decode_blocks(payloads: list[bytes], sizes: list[int], block: int = BLOCK, largest: int = 0xFFFF) -> np.ndarray:
     """The ids of all blocks, in order."""
+    _checked(block)
     lanes, steps = len(payloads), max(sizes)
-    most = max(map(len, payloads)) // 2 + 4
-    digits = np.zeros((lanes, most), np.uint64)
+    digits = np.zeros((lanes, max(map(len, payloads)) // 2 + 4), np.uint16)
     for i, p in enumerate(payloads):
         digits[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-    digits = np.ascontiguousarray(digits.T)
-    model, span, at = _Model(lanes), np.full(lanes, 1, np.uint64) << _TOP, np.full(lanes, 3, np.int64)
-    code = digits[0] << np.uint64(32) | digits[1] << np.uint64(16) | digits[2]
-    table = np.empty((steps, lanes), np.int64)
+    digits = np.ascontiguousarray(digits.T).ravel()
+    orders, counts, lane = _Orders(lanes, block), _Counts(lanes, block), np.arange(lanes)
+    span, code, at = np.full(lanes, _TOP), np.zeros(lanes), lane
+    for _ in range(3):
+        code, at = code * _DIGIT + digits.take(at), at + lanes
+    slots, ids, used = np.empty((steps, lanes), np.uint16), np.zeros(lanes * block, np.uint16), np.zeros(lanes, np.int64)
+    edges, whole, choice = np.zeros((5, lanes)), np.ones((4, lanes)), np.empty((4, lanes), np.int64)
+    whole[3], done = largest + 1, 0
     for t in range(steps):
-        ids = np.zeros(lanes, np.int64)
-        for place in range(4):
-            sums = model.predict(place, ids)
-            total = sums[:, 15]
-            step = span // total.astype(np.uint64)
-            value = np.minimum((code // step).astype(np.float32), total - 1)
-            upto = np.bitwise_count((sums <= value[:, None]).view(np.uint64))  # of sixteen bytes that are 0 or 1
-            digit = (upto[:, 0] + upto[:, 1]).astype(np.int64)
-            size = model.size(digit)
-            code -= step * (sums.take(model.rows + digit) - size).astype(np.uint64)
-            span = step * size.astype(np.uint64)
-            some = np.flatnonzero(span < _LOW)
-            if len(some):
-                code[some] = code[some] << np.uint64(16) | digits[np.minimum(at[some], most - 1), some]
-                at[some] += 1
-                span[some] <<= np.uint64(16)
-            model.update(digit)
-            ids = ids << 4 | digit
-        table[t] = ids
-        model.next(ids)
-    return np.concatenate([table[:n, i] for i, n in enumerate(sizes)])
+        if t == counts.next:
+            counts.again(slots[done:t], used.copy(), True)
+            done = t
+        edges[1:] = orders.guess().view(np.uint16).reshape(-1, 4).T
+        step = np.floor(span / edges[4] * _SAFE)
+        below = (edges[1:4] <= code / step).view(np.uint8)
+        kind = (below[0] + below[1] + below[2]).astype(np.int64)
+        i = kind * lanes + lane
+        under = edges.take(i)
+        code -= step * under
+        span = step * (edges.take(i + lanes) - under)
+        since = counts.used - counts.units
+        np.subtract(used, since, out=whole[2])
+        total = whole.take(i)
+        step = np.floor(span / total * _SAFE)
+        unit = np.minimum(np.floor(code / step), total - 1).astype(np.int64)
+        old = (kind == 2) & (unit < counts.units)
+        choice[1], choice[0] = orders.slots
+        choice[2] = np.where(old, counts.slot.take(counts.by_unit + unit, mode="clip"), unit + since)
+        choice[3] = used
+        slot = choice.take(i)
+        cell = counts.by_sum + slot
+        first = counts.below.take(cell)
+        code -= step * np.where(old, first, unit)
+        span = step * np.where(old, counts.below.take(cell + 1) - first, 1)
+        some = np.flatnonzero(span < _LOW)
+        while len(some):
+            here = at.take(some)
+            code[some] = code.take(some) * _DIGIT + digits.take(here, mode="clip")
+            at[some] = here + lanes
+            part = span.take(some) * _DIGIT
+            span[some] = part
+            some = some[part < _LOW]
+        novel = np.flatnonzero(kind == 3)
+        ids[counts.by_slot.take(novel) + slot.take(novel)] = unit.take(novel)
+        used[novel] += 1
+        slots[t] = slot
+        orders.learn(kind, slot, slots[t])
+    return np.concatenate([ids[i * block :].take(own[:n]) for i, (own, n) in enumerate(zip(np.ascontiguousarray(slots.T), sizes))])
 
 
 def encode_frame(doc_ids: list, counts: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One frame of whole documents."""
-    payloads = encode_blocks(ids, block) if len(ids) else []
+    largest = int(ids.max(initial=0))
+    payloads = encode_blocks(ids, block, largest) if len(ids) else []
     parts = [ids[i : i + block].astype("<u4").tobytes() for i in range(0, len(ids), block)]
     heads = np.array([(len(x) // 4, len(p), zlib.crc32(x)) for x, p in zip(parts, payloads)], "<u4")
     body = b"".join(
@@ -189,16 +275,17 @@ def encode_frame(doc_ids: list, counts: list[int], ids: np.ndarray, block: int =
             *payloads,
         ]
     )
-    return _HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(payloads), len(ids), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(payloads), len(ids), largest)
+    return head + _CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def decode_frame(frame: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """doc_ids, counts and ids; raises ValueError where a checksum or a size is wrong."""
-    if len(frame) < _HEAD.size:
+    if len(frame) < _HEAD.size + _CHECK.size:
         raise ValueError("a frame is shorter than its head")
-    magic, version, _, docs, blocks, total, check = _HEAD.unpack_from(frame)
-    body = memoryview(frame)[_HEAD.size :]
-    if magic != MAGIC or version != VERSION or zlib.crc32(body) != check:
+    magic, version, block, docs, blocks, total, largest = _HEAD.unpack_from(frame)
+    body = memoryview(frame)[_HEAD.size + _CHECK.size :]
+    if magic != MAGIC or version != VERSION or zlib.crc32(body, zlib.crc32(frame[: _HEAD.size])) != _CHECK.unpack_from(frame, _HEAD.size)[0]:
         raise ValueError("not a frame, or its checksum is wrong")
     known = np.frombuffer(body, "<i8", docs)
     null = np.frombuffer(body, np.uint8, docs, 8 * docs)
@@ -206,7 +293,7 @@ def decode_frame(frame: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     heads = np.frombuffer(body, "<u4", 3 * blocks, 13 * docs).reshape(blocks, 3).astype(np.int64)
     ends = 13 * docs + 12 * blocks + np.cumsum(heads[:, 1])
     payloads = [bytes(body[e - n : e]) for e, n in zip(ends.tolist(), heads[:, 1].tolist())]
-    ids = decode_blocks(payloads, heads[:, 0].tolist()) if blocks else np.zeros(0, np.int64)
+    ids = decode_blocks(payloads, heads[:, 0].tolist(), block, largest) if blocks else np.zeros(0, np.uint16)
     at = 0
     for n, _, crc in heads.tolist():
         if zlib.crc32(ids[at : at + n].astype("<u4").tobytes()) != crc:
@@ -233,7 +320,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
         end = np.array([end_id], "<u2").tobytes()
 
         def frame():
-            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), "<u2")
             row = (part, seq, first, len(ids), encode_frame(docs_, counts, ids, block))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in FRAMES.split(", ")])

@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer's own splitting always cuts, so the ids of the chunks, joined, are the ids of the
 text. The word vocabulary drops white space, so it cuts at every space and line end; the byte vocabulary cuts where a
 character that is not white space is followed by one that is. Chunks of common letters and ASCII punctuation go to the
-library's model pretoken by pretoken; every other chunk goes through the whole tokenizer.
+library's model pretoken by pretoken; every other chunk goes through the whole tokenizer. Added tokens of the vocabulary
+are found before any splitting, so a text that holds one is not cut at all.
 """
 
 from __future__ import annotations
@@ -68,12 +69,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.model, self.table = self.tokenizer.model, _byte_letters()
         self.model._resize_cache(0)  # pieces remembers more
         self.by_word = self.tokenizer.normalizer is not None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that are looked for in normalised text aren't supported")
         self.pieces = _Memory(self._piece, most)
         self.pieces[""] = b""
 
@@ -120,6 +123,14 @@ class Encoder:
         """Of each text, its ids as bytes of little-endian uint16."""
         if not texts:
             return []
+        held = [any(x in t for x in self.added) for t in texts]
+        if not any(held):
+            return self._batch(texts)
+        rest = iter(self._batch([t for t, x in zip(texts, held) if not x]))
+        return [self._whole(t) if x else next(rest) for t, x in zip(texts, held)]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """batch() of texts without added tokens."""
         array_ = pa.array(texts, pa.large_string())
         if self.by_word:
             return self._cut(pc.replace_substring(array_, "\n", " "))

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rastrel.llm import idcoder
+from rastrel.llm import idcoder, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,7 +16,7 @@ def test_blocks_come_back(n, block, top):
     ids = np.random.default_rng(n).integers(0, top, n)
     payloads = idcoder.encode_blocks(ids, block)
     sizes = [min(block, n - i) for i in range(0, n, block)]
-    assert (idcoder.decode_blocks(payloads, sizes) == ids).all()
+    assert (idcoder.decode_blocks(payloads, sizes, block) == ids).all()
 
 
 def test_blocks_are_independent():
@@ -24,7 +24,7 @@ def test_blocks_are_independent():
     payloads = idcoder.encode_blocks(ids, 128)
     for i, p in enumerate(payloads):
         assert p == idcoder.encode_blocks(ids[128 * i : 128 * i + 128], 128)[0]
-        assert (idcoder.decode_blocks([p], [128]) == ids[128 * i : 128 * i + 128]).all()
+        assert (idcoder.decode_blocks([p], [128], 128) == ids[128 * i : 128 * i + 128]).all()
 
 
 def test_what_is_predictable_is_short():
@@ -43,7 +43,7 @@ def test_damage_is_seen():
     frame = idcoder.encode_frame([5, None, 6], [400, 1, 599], ids, 128)
     doc_ids, counts, back = idcoder.decode_frame(frame)
     assert doc_ids == [5, None, 6] and counts.tolist() == [400, 1, 599] and (back == ids).all()
-    for at in (0, 30, len(frame) // 2, len(frame) - 1):
+    for at in (0, 7, 25, 30, len(frame) // 2, len(frame) - 1):
         with pytest.raises(ValueError):
             idcoder.decode_frame(frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :])
     with pytest.raises(ValueError):
@@ -69,3 +69,18 @@ def test_round_trip_through_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     idcoder.write(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "ids"))
     assert idcoder.read(spark, str(tmp_path / "ids")).count() == 0
+
+
+ADDED = ["hi <|endoftext|> there", "<|startoftext|>", "a<|startoftext|>b", "x <|endoftext|", "<|ENDOFTEXT|>", "<|endoftext|><|endoftext|> ", "<|endof text|>"]
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys(file):
+    """Added tokens in a text too, alone, at its ends, across the places where texts are cut, and in long ones."""
+    path = public_tokenizers.path(file)
+    texts = ADDED + ["Plain text, it's 12.\nNext  line", "", "é" * 80 + "<|endoftext|>", "w " * 5000 + "<|startoftext|> z" + " q" * 5000, "\x1c<|endoftext|>\u00a0 "]
+    tok = Tokenizer.from_file(path)  # as it comes
+    got = tokens.Encoder(path).batch(texts)
+    assert [tokens.as_ids(x).tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    few = tokens.Encoder(path, most=3)  # chunks are forgotten all the time
+    assert few.batch(texts) == got and few.batch(texts) == got

@@ -14,7 +14,6 @@ ROWS = [(1, "Hello world, it's 12 o'clock.\nNew  line\t!", 7), (2, None, 7), (3,
 def test_pieces_are_the_ids_in_order(spark):
     found = packing.pack(spark.createDataFrame(ROWS, "doc_id long, text string, Task int"), PATH).collect()
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     want = defaultdict(list)
     for doc_id, text, _ in ROWS:
         want[doc_id].append(tok.encode(text or "", add_special_tokens=False).ids + [0])

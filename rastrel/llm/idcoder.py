@@ -6,7 +6,7 @@ order 2, the same after the last two ids (hashed). A gate, adaptive and with a c
 the weights: the probabilities that order 2 is right, that order 1 is, that order 0 must say, or that the id is new to the
 block. The mixed frequencies drive a range coder with a 48-bit interval that sheds 16 bits at a time: a step for the gate,
 then one among the counts of order 0, or among all ids up to the frame's largest for a new one. Counts of order 0 are
-brought up to date at fixed places, whenever the block has grown by an eighth; slots that came since count once.
+brought up to date at fixed places, whenever the block has grown by a quarter; slots that came since count once.
 
 All state is reset at each block, so blocks are coded side by side: the arrays below have one lane for each block of a
 frame and go through the blocks in step. The coder's numbers are whole and below 2**53 in float64, and quotients are taken
@@ -40,14 +40,14 @@ from . import batches, common, tokens
 
 BLOCK = 2048
 MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
-FRAME_IDS = 1 << 22
+FRAME_IDS = 1 << 23
 MAGIC, VERSION = b"RIDC", 2
 _HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
 
 _TOP, _LOW, _DIGIT = 2.0**48, 2.0**32, 2.0**16
 _SAFE = 1 - 2.0**-50  # brings a rounded quotient below the true one
 _HASH = 11  # bits of an order-2 context
-_AGAIN = 8  # order 0 is counted again when a block has grown by this part
+_AGAIN = 4  # order 0 is counted again when a block has grown by this part
 
 
 def _packed(rows) -> np.ndarray:
@@ -59,7 +59,7 @@ def _packed(rows) -> np.ndarray:
 _START = _packed([(8, 16, 64, 112)])[0]
 _LEAST = _packed([(1, 2, 3, 4)])[0]
 _AFTER = _packed([[24 * (i >= k) for i in range(4)] for k in range(4)])
-_FULL, _HALF = np.uint64(1500 << 48), np.uint64(0x7FFF7FFF7FFF7FFF)
+_FULL, _HALF, _OFTEN = np.uint64(1500 << 48), np.uint64(0x7FFF7FFF7FFF7FFF), 64  # every so many steps, what is above is halved
 #: What is added to (slot, confidence): a confidence of 2 or 3 falls by one on a miss, a hit raises it up to 3.
 _MOVE = np.array([0, 0, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
 
@@ -74,6 +74,7 @@ class _Orders:
         self.at = np.empty((2, lanes), np.int64)
         self.gate, self.by_gate = np.full(lanes * 32, _START), lane * 32
         self.last = self.before = np.zeros(lanes, np.int64)
+        self.step = 0
 
     def guess(self) -> np.ndarray:
         """Predict the next slots; returns the gate's cumulative frequencies, packed."""
@@ -89,36 +90,39 @@ class _Orders:
 
     def learn(self, kind: np.ndarray, slot: np.ndarray, short: np.ndarray) -> None:
         """kind: which of the gate's four it was; slot, also as uint16: what came."""
-        bounds = self.bounds + _AFTER.take(kind)
-        full = np.flatnonzero(bounds > _FULL)
-        if len(full):
-            bounds[full] = bounds[full] >> np.uint64(1) & _HALF
-        self.gate[self.cell] = bounds
+        self.gate[self.cell] = self.bounds + _AFTER.take(kind)
+        self.step += 1
+        if self.step % _OFTEN == 0:
+            full = np.flatnonzero(self.gate > _FULL)
+            self.gate[full] = self.gate[full] >> np.uint64(1) & _HALF
         case = (self.slots == short).view(np.uint8) * 4 + self.sure
         self.known[self.at] = np.where(case > 1, self.held + _MOVE.take(case), short * np.uint16(4) + np.uint16(1))
         self.before, self.last = self.last, slot
 
 
 class _Counts:
-    """Order 0 of all lanes: the counts up to some place, their sums below each slot, and (decoding) the slot of each unit."""
+    """Order 0 of all lanes: each slot's count up to some place (upper half) and the sum below it, and (decoding) the slot of each unit."""
 
     def __init__(self, lanes: int, block: int):
         self.lane = np.arange(lanes)
-        self.counts, self.sums = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block + 1), np.uint16)
-        self.by_slot, self.by_sum, self.below = self.lane * block, self.lane * (block + 1), self.sums.ravel()
+        self.counts, self.both = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block), np.uint32)
+        self.by_slot, self.flat = self.lane * block, self.both.ravel()
         self.slot, self.by_unit = np.zeros(1, np.uint16), self.lane
         self.used, self.units, self.next = np.zeros(lanes, np.int64), 0, 4
+        self.since = np.zeros(lanes, np.int64)  # slots less units
 
     def again(self, recent: np.ndarray, used: np.ndarray, decoding: bool) -> None:
         """recent: the slots since the last time, a row each step; used: how many slots there are."""
         np.add.at(self.counts.ravel(), (recent + self.by_slot).ravel(), np.uint16(1))
         most, self.units, self.used = int(used.max()), self.units + len(recent), used
         counts = self.counts[:, :most]
-        np.cumsum(counts, axis=1, out=self.sums[:, 1 : most + 1], dtype=np.uint16)
+        np.cumsum(counts[:, :-1], axis=1, out=self.both[:, 1:most], dtype=np.uint32)
+        self.both[:, 0] = 0
+        self.both[:, :most] |= counts.astype(np.uint32) << 16
         if decoding:
             slots = np.broadcast_to(np.arange(most, dtype=np.uint16), counts.shape)
             self.slot, self.by_unit = np.repeat(slots.ravel(), counts.ravel()), self.lane * self.units
-        self.next = self.units + max(4, self.units // _AGAIN)
+        self.since, self.next = used - self.units, self.units + max(4, self.units // _AGAIN)
 
 
 def _numbered(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +167,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = 0xFFFF) ->
         under = np.where(kind > 0, edges.ravel().take(at - 1, mode="clip"), 0).astype(np.float64)
         width, total = edges.ravel().take(at) - under, edges[:, 3::4].astype(np.float64)
         by_count, novel = kind == 2, kind == 3
-        old, at, came = by_count & (slot < counts.used), counts.by_sum + slot, np.cumsum(novel, axis=0)
-        first = counts.below.take(at)
-        size = np.where(old, counts.below.take(at + 1) - first, 1).astype(np.float64)
-        begin = np.where(old, first, np.where(by_count, slot - counts.used + counts.units, np.where(novel, table[a:z], 0))).astype(np.float64)
-        whole = np.where(by_count, used + came - novel - counts.used + counts.units, np.where(novel, largest + 1, 1)).astype(np.float64)
+        old, both, came = by_count & (slot < counts.used), counts.flat.take(counts.by_slot + slot), np.cumsum(novel, axis=0)
+        size = np.where(old, both >> 16, 1).astype(np.float64)
+        begin = np.where(old, both & 0xFFFF, np.where(by_count, slot - counts.since, np.where(novel, table[a:z], 0))).astype(np.float64)
+        whole = np.where(by_count, used + came - novel - counts.since, np.where(novel, largest + 1, 1)).astype(np.float64)
         used = used + came[-1]
         for i in range(z - a):
             step = np.floor(span / total[i] * _SAFE)
@@ -230,20 +233,19 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], block: int = BLOCK, l
         under = edges.take(i)
         code -= step * under
         span = step * (edges.take(i + lanes) - under)
-        since = counts.used - counts.units
-        np.subtract(used, since, out=whole[2])
+        np.subtract(used, counts.since, out=whole[2])
         total = whole.take(i)
         step = np.floor(span / total * _SAFE)
-        unit = np.minimum(np.floor(code / step), total - 1).astype(np.int64)
+        unit = np.minimum(code / step, total - 1).astype(np.int64)
         old = (kind == 2) & (unit < counts.units)
         choice[1], choice[0] = orders.slots
-        choice[2] = np.where(old, counts.slot.take(counts.by_unit + unit, mode="clip"), unit + since)
+        choice[2] = np.where(old, counts.slot.take(counts.by_unit + unit, mode="clip"), unit + counts.since)
         choice[3] = used
         slot = choice.take(i)
-        cell = counts.by_sum + slot
-        first = counts.below.take(cell)
-        code -= step * np.where(old, first, unit)
-        span = step * np.where(old, counts.below.take(cell + 1) - first, 1)
+        cell = counts.by_slot + slot
+        both = counts.flat.take(cell, mode="clip")
+        code -= step * np.where(old, both & 0xFFFF, unit)
+        span = step * np.where(old, both >> 16, 1)
         some = np.flatnonzero(span < _LOW)
         while len(some):
             here = at.take(some)
@@ -253,7 +255,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], block: int = BLOCK, l
             span[some] = part
             some = some[part < _LOW]
         novel = np.flatnonzero(kind == 3)
-        ids[counts.by_slot.take(novel) + slot.take(novel)] = unit.take(novel)
+        ids[cell.take(novel)] = unit.take(novel)
         used[novel] += 1
         slots[t] = slot
         orders.learn(kind, slot, slots[t])
@@ -347,8 +349,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian uint32) from the frames."""
     frames = spark.read.schema(FRAMES).parquet(path)
-    offsets = common.running_offsets(frames, "part", "n_ids")
-    placed = frames.select((common.offset_column(F.col("part"), offsets) + F.col("first")).alias("first"), "frame")
+    counted = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = common.offsets(counted, [], "part", "n", "before")
+    placed = common.small_join(frames, before, ["part"]).select((F.col("before") + F.col("first")).alias("first"), "frame")
 
     def run(given):
         for batch in given:

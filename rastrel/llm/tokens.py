@@ -25,6 +25,7 @@ _CUT_BYTES = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _ODD = r"^\s|\s$|\s\s|[^\S \n]|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LONGEST = 64
 MOST = 500_000
+MOST_BYTES = 48 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -79,6 +80,8 @@ class Encoder:
             raise ValueError("added tokens that are looked for in normalised text aren't supported")
         self.pieces = _Memory(self._piece, most)
         self.pieces[""] = b""
+        self.most = most
+        self._forget()
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -107,12 +110,32 @@ class Encoder:
                 out.append(get(" " + b))
         return out
 
+    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each distinct chunk has, where they begin, and all ids; chunks of the batches before are looked up together."""
+        if len(self.seen) > self.most or self.seen.nbytes + self.flat.nbytes > MOST_BYTES:
+            self._forget()
+        at = pc.fill_null(pc.index_in(chunks, self.seen), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            ids = self._chunks(fresh)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+            at[new] = np.arange(len(new)) + len(self.seen)
+            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u2")])
+            self.seen = pa.concat_arrays([self.seen, fresh])
+        return self.sizes[at], self.starts[at], self.flat
+
+    def _forget(self) -> None:
+        self.seen, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint16)
+        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _cut(self, texts: pa.Array) -> list[bytes]:
         lists = pc.split_pattern(texts, " ")
         words = lists.flatten().dictionary_encode()
-        ids, index = self._chunks(words.dictionary), words.indices.to_numpy()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        starts, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u2")
+        sizes, starts, known = self._known(words.dictionary)
+        index = words.indices.to_numpy()
         each = sizes[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         flat = known[np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], each)].tobytes()
@@ -121,8 +144,6 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as bytes of little-endian uint16."""
-        if not texts:
-            return []
         held = [any(x in t for x in self.added) for t in texts]
         if not any(held):
             return self._batch(texts)
@@ -131,6 +152,8 @@ class Encoder:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         """batch() of texts without added tokens."""
+        if not texts:
+            return []
         array_ = pa.array(texts, pa.large_string())
         if self.by_word:
             return self._cut(pc.replace_substring(array_, "\n", " "))

@@ -1,22 +1,24 @@
 """Personal data: patterns for direct identifiers, then information-theoretic sanitisation of the terms that reveal them.
 
-Base: emails, IP addresses, card and phone numbers, leftmost and non-overlapping by kind. Each distinct value is a
-protected entity e. A term t (three letters or more, lower case) within `window` terms of a mention of e counts as seen
-with it. Over all N documents, with document counts n(e), n(t) and n(e, t),
+Base: emails, IP addresses, card and phone numbers, leftmost and non-overlapping by kind. A mention protects three entities:
+its value, the group the value belongs to (an email's domain, an address's first two parts, a card's issuer, a phone number
+without its last four digits), and its kind ("there is a card number here"). A term t (three letters or more, lower case)
+within `window` terms of a mention of e counts as seen with it. Over all N documents, with document counts n(e), n(t), n(e, t),
 
     IC(e) = log2(N / n(e))        PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t)))
 
 and t reveals the share PMI / IC of what e says: 1 if t occurs only near e. At `generalise` of it the term near e is
-replaced by a placeholder, at `remove` it goes. A pair counts only if `support` different texts show it, so that a word's
-one chance meeting with a number reveals nothing. Terms' spans are added to the base ones, which stay as they are.
+replaced by a placeholder, at `remove` it goes. A pair counts only if enough shows it, so that a word's one chance meeting
+with a number reveals nothing: `support` different texts for a value, `support` different values (which near copies of one
+text don't have) for a group or a kind. Terms' spans are added to the base ones, which stay as they are.
 
 The first pass reads every text and writes mentions to the shared folder; pairs are counted by text with its number of
 copies. Document counts of terms come from a second pass over all texts, which looks only at terms of supported pairs by
 a Bloom filter of fixed size (2**22 bits); a join drops its false positives, so counts are exact.
 
 Defined cases: a null or empty text has no spans and its base digest is that of the empty string; rows with a null doc_id
-and repeated rows are documents like any other (each counts in N); an empty table gives no rows; other columns are
-ignored here and kept by sanitise().
+and repeated rows are documents like any other (each counts in N); texts of any length are read whole; an empty table gives
+no rows; other columns, whatever their names, are ignored here and kept by sanitise().
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _BLOOM_BITS = 1 << 22
+_HELD = 300_000  # terms that a task counts before it passes them on
 
 
 @dataclass(frozen=True)
@@ -94,16 +97,17 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def entity(kind: str, value: str) -> int:
-    """The protected value's 64-bit name, whatever its spelling."""
+def entities(kind: str, value: str) -> tuple[int, int, int]:
+    """64-bit names of what a mention protects: its kind, the value's group, the value, whatever its spelling."""
     import xxhash
 
     value = value.lower() if kind in ("email", "ip") else re.sub(r"[^0-9]", "", value)
-    return xxhash.xxh64_intdigest(f"{kind}:{value}", 42) - (1 << 63)
+    group = {"email": value.rpartition("@")[2], "ip": ".".join(value.split(".")[:2]), "card": value[:6], "phone": value[:-4]}[kind]
+    return tuple(xxhash.xxh64_intdigest(f"{kind}:{x}", 42) - (1 << 63) for x in ("kind", f"group:{group}", f"value:{value}"))
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[tuple[int, str], list[tuple[int, int]]]:
-    """(entity, term) -> the term's spans within `window` terms of a mention; terms that touch a base span aren't terms."""
+def mentions(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[tuple[tuple[int, int, int], str], list[tuple[int, int]]]:
+    """(entities, term) -> the term's spans within `window` terms of a mention; terms that touch a base span aren't terms."""
     if not spans:
         return {}
     taken = sorted((s, e) for _, s, e in spans)
@@ -115,19 +119,20 @@ def mentions(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[
         if m.start() >= reach:
             terms.append((m.start(), m.end()))
     starts = np.array([s for s, _ in terms], np.int64)
-    found: dict[tuple[int, str], set] = {}
+    found: dict[tuple[tuple[int, int, int], str], set] = {}
     for kind, s, e in spans:
-        name, at = entity(kind, text[s:e]), int(np.searchsorted(starts, s))
+        name, at = entities(kind, text[s:e]), int(np.searchsorted(starts, s))
         for a, b in terms[max(0, at - window) : at + window]:
             found.setdefault((name, text[a:b].lower()), set()).add((a, b))
     return {k: sorted(v) for k, v in found.items()}
 
 
 _SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("spans", pa.list_(_SPAN))]))
+LEVELS = ("kind", "grp", "value")
+_NEAR = pa.list_(pa.struct([*((x, pa.int64()) for x in LEVELS), ("term", pa.string()), ("spans", pa.list_(_SPAN))]))
 FOUND = (
     "doc_id long, h1 long, h2 long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, "
-    "near array<struct<entity: long, term: string, spans: array<struct<s: int, e: int>>>>"
+    "near array<struct<kind: long, grp: long, value: long, term: string, spans: array<struct<s: int, e: int>>>>"
 )
 
 
@@ -147,7 +152,7 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
                 counts.append([by_kind[k] for k in KINDS])
                 bases.append(joined(spans))
                 digests.append(hashlib.sha256(bases[-1].encode()).hexdigest())
-                near.append([{"entity": n, "term": t, "spans": [{"s": a, "e": b} for a, b in at]} for (n, t), at in mentions(text or "", spans, rule.window).items()])
+                near.append([dict(zip(LEVELS, n)) | {"term": t, "spans": [{"s": a, "e": b} for a, b in at]} for (n, t), at in mentions(text or "", spans, rule.window).items()])
             columns = [batch.column(c) for c in ("doc_id", "h1", "h2")]
             columns += [pa.array(c, pa.int64()) for c in zip(*counts)]
             columns += [pa.array(bases, pa.string()), pa.array(digests, pa.string()), pa.array(near, _NEAR)]
@@ -177,13 +182,20 @@ def _counted(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
 
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8))
         slot = lambda t: xxhash.xxh64_intdigest(t, 42) & (_BLOOM_BITS - 1)
+        count: Counter = Counter()
+
+        def rows():
+            kept = [(t, n) for t, n in count.items() if bits[slot(t)]]
+            count.clear()
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["term", "n"])
+
         for batch in batches.slices(given, "text"):
-            count: Counter = Counter()
             for text in batches.strings(batch.column("text")):
                 if text:
                     count.update(set(map(str.lower, set(_TERM.findall(text)))))
-            kept = [(t, n) for t, n in count.items() if bits[slot(t)]]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["term", "n"])
+                    if len(count) > _HELD:
+                        yield rows()
+        yield rows()
 
     seen = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "term string, n long")
     return seen.groupBy("term").agg(F.sum("n").alias("n_term"))
@@ -194,11 +206,15 @@ def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure(
     texts = found.where(F.size("near") > 0).groupBy("h1", "h2").agg(F.first("near").alias("near"), F.count("*").alias("copies"))
     texts = common.table(texts, "texts")
     n = found.count()
-    entities = texts.select("copies", F.explode(F.array_distinct("near.entity")).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= rule.support)
-    pairs = texts.select("copies", F.explode("near").alias("x")).select("copies", "x.entity", "x.term")
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"), F.count("*").alias("texts")).where(F.col("texts") >= rule.support).drop("texts")
-    pairs = common.table(pairs.join(entities.drop("texts"), "entity"), "pairs")
+    once = lambda make: F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.array(*(make(x, i) for i in LEVELS))))))
+    counted = texts.select("copies", once(lambda x, i: x[i]).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    pairs = texts.select("copies", once(lambda x, i: F.struct(x[i].alias("entity"), x["term"].alias("term"))).alias("x"))
+    pairs = pairs.groupBy("x.entity", "x.term").agg(F.sum("copies").alias("n_pair"))
+    by = {"kind": "value", "grp": "value", "value": None}  # what there must be enough of: values, or texts
+    witness = lambda x, i: F.struct(x[i].alias("entity"), x["term"].alias("term"), (x[by[i]] if by[i] else F.col("h1")).alias("by"))
+    shown = texts.select(once(witness).alias("x")).select("x.*").distinct().groupBy("entity", "term").agg(F.count("*").alias("shown"))
+    pairs = pairs.join(shown.where(F.col("shown") >= rule.support).drop("shown"), ["entity", "term"])
+    pairs = common.table(pairs.join(counted, "entity"), "pairs")
     counts = _counted(docs, _bloom(pairs.select("term").distinct()))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
@@ -209,7 +225,7 @@ def disclosing(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure(
 
 def term_spans(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """h1, h2, terms (array of kind, s, e by kind and start) of each text in which a term discloses; removal wins."""
-    near = texts.select("h1", "h2", F.explode("near").alias("x")).select("h1", "h2", "x.entity", "x.term", "x.spans")
+    near = texts.select("h1", "h2", F.explode("near").alias("x")).select("h1", "h2", F.explode(F.array(*(f"x.{i}" for i in LEVELS))).alias("entity"), "x.term", "x.spans")
     hit = near.join(pairs, ["entity", "term"]).select("h1", "h2", "kind", F.explode("spans").alias("at"))
     once = hit.groupBy("h1", "h2", "at").agg(F.max("kind").alias("kind"))
     packed = F.sort_array(F.collect_list(F.struct("kind", "at.s", "at.e")))

@@ -43,27 +43,30 @@ def plain_terms(rows, rule):
     texts = [t or "" for _, t, *_ in rows]
     n_term = Counter(x for t in texts for x in {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t)})
     seen = {t: pii.mentions(t, plain_base(t), rule.window) for t in set(texts)}
-    copies, pair, support = Counter(texts), Counter(), defaultdict(int)
-    entity, entity_support = Counter(), defaultdict(int)
+    copies, pair, shown, entity = Counter(texts), Counter(), defaultdict(set), Counter()
     for t, near in seen.items():
-        for key in near:
+        for key in {(e, term) for levels, term in near for e in levels}:
             pair[key] += copies[t]
-            support[key] += 1
-        for e in {e for e, _ in near}:
+        for e in {e for levels, _ in near for e in levels}:
             entity[e] += copies[t]
-            entity_support[e] += 1
+        for (kind, group, value), term in near:
+            shown[kind, term].add(value)
+            shown[group, term].add(value)
+            shown[value, term].add(t)
     kinds, n = {}, len(rows)
     for (e, term), c in pair.items():
-        if support[e, term] >= rule.support and entity_support[e] >= rule.support and entity[e] < n:
+        if len(shown[e, term]) >= rule.support and entity[e] < n:
             share = math.log2(n * c / (entity[e] * n_term[term])) / math.log2(n / entity[e])
             if share >= rule.generalise:
                 kinds[e, term] = pii.TERM_KINDS[share >= rule.remove]
     out = {}
     for t, near in seen.items():
         found = {}
-        for key, at in near.items():
-            for span in at if key in kinds else ():
-                found[span] = max(found.get(span, ""), kinds[key])
+        for (levels, term), at in near.items():
+            for span in at:
+                for e in levels:
+                    if (e, term) in kinds:
+                        found[span] = max(found.get(span, ""), kinds[e, term])
         out[t] = sorted((k, *s) for s, k in found.items())
     return out
 
@@ -76,6 +79,8 @@ def corpus():
     rows = [(i, text(40), "x") for i in range(200)]
     rows += [(300 + i, f"{text(6)} Zebulon Quarx mails zeb@quarx.example.com often {text(20)}", "x") for i in range(6)]
     rows += [(400 + i, f"{text(12)} call +1 (068) 555-27{i}8 {text(12)}", "x") for i in range(5)]
+    rows += [(700 + i, f"{text(9)} my visa 4111 1111 1111 {n} {text(9)}", "x") for i, n in enumerate((1111, 1129, 1137))]  # cards that differ
+    rows += [(710 + i, f"{text(9)} oddity bob@one.example.org {text(9 + i)}", "x") for i in range(2)]  # too few texts, and one value only
     rows += [(500, None, None), (501, "", "x"), (None, "nobody 10.0.0.1", "x"), (300, rows[200][1], "x"), (600, "Zebulon alone, far away", "x"), (601, "é " * 5000 + "a@b.cd", "x")]
     return rows
 
@@ -99,7 +104,9 @@ def test_terms_equal_brute_force(spark):
                 break
         else:
             pytest.fail(f"no such result: {r}")
-    assert sum(found.values()) == len(rows) and flagged >= 6
+    assert sum(found.values()) == len(rows) and flagged >= 14
+    words = {t[s:e].lower() for t, spans in want.items() for _, s, e in spans}
+    assert {"zebulon", "quarx", "mails", "visa", "call"} <= words and "oddity" not in words  # by value, by kind, by kind
     assert any(k == "term_removed" for s in want.values() for k, *_ in s) or any(k == "term_generalised" for s in want.values() for k, *_ in s)
 
 

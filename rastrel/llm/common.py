@@ -7,19 +7,21 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS_BYTES = b"\x20\t\n\x0b\x0c\r"  # the separators of bytes.split()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one where it names none."""
+    """The folder that driver and executors share, as the session names it; a temporary one where it names none and all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             return set_already.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rastrel-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -52,6 +54,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table() that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/rastrel-" in path:
+            _remove(df.sparkSession, path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like those given that df doesn't have, whatever the case of its own."""
     have, out = {c.lower() for c in df.columns}, []
@@ -77,19 +86,15 @@ def text_partitions(spark: SparkSession, least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, least)
 
 
-def running_offsets(counted: DataFrame, part: str, count: str) -> dict[int, int]:
-    """For each partition number, the sum of the counts of those before it. One small row a partition reaches the driver."""
-    sums = counted.groupBy(part).agg(F.sum(count).alias("n")).collect()
-    out, total = {}, 0
-    for p, n in sorted((r[0], r[1]) for r in sums):
-        out[p] = total
-        total += n
-    return out
+def offsets(counted: DataFrame, within: list[str], part: str, n: str, name: str) -> DataFrame:
+    """The columns within and part, and as `name` the sum of n over the smaller parts of the same `within`. A row for each."""
+    before = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*within, part, F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(name))
+
+
+MOST_BROADCAST = 2_000_000  # rows of a few numbers
 
 
-def offset_column(part: Column, offsets: dict[int, int]) -> Column:
-    """Look up a partition's offset in an array literal; the array has an entry a partition, however many rows there are."""
-    size = max(offsets, default=-1) + 1
-    if not size:
-        return F.lit(0).cast("long")
-    return F.element_at(F.lit([offsets.get(i, 0) for i in range(size)]).cast("array<bigint>"), part.cast("int") + 1)
+def small_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Join rows with a table that has a row for each task or part: broadcast after its rows are counted, shuffled if too many."""
+    return rows.join(F.broadcast(small) if small.count() <= MOST_BROADCAST else small, on)

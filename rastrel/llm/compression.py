@@ -8,7 +8,8 @@ or noise that the rest of a long document hides. A last chunk of less than half
 Base rules come first: fewer than 20 words, or more than 30 % of the words in 8-word windows found twice or more.
 
 Defined cases: a null or empty text has no words and fails the base rules, with a null ratio; texts of any length are
-compressed whole; each row is judged alone, so repeated rows get the same verdict; an empty table gives no rows.
+compressed whole; each row is judged alone, so repeated rows get the same verdict; a ratio or share equal to its limit is
+within it; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -116,16 +116,16 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, range_byt
     keys, below, width, first = splitters(slim, shards * each, tolerance)
     edges = _as_keys(keys, width)
     rows = [0] + [n for _, n in below]
-    offsets = [rows[i] - rows[i - i % each] for i in range(shards * each)]
+    offsets = np.array([rows[i] - rows[i - i % each] for i in range(shards * each)], np.int64)
 
-    @F.pandas_udf("int")
-    def range_of(high: pd.Series, doc: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, _row_keys(high.to_numpy(), doc.to_numpy(), first), "right").astype(np.int32))
+    @F.pandas_udf("n int, slot long")
+    def range_of(high: pd.Series, doc: pd.Series) -> pd.DataFrame:
+        n = np.searchsorted(edges, _row_keys(high.to_numpy(), doc.to_numpy(), first), "right")
+        return pd.DataFrame({"n": n.astype(np.int32), "slot": offsets[n]})
 
     named = F.when(F.col(d) > -(1 << 63), F.col(d)).otherwise(F.lit(null_as).cast("long"))
     dealt = keyed.withColumn(d, named).withColumn(fine, range_of(F.col(h), F.col(d)))
-    dealt = dealt.repartitionById(shards * each, F.col(fine)).sortWithinPartitions(h, d)
+    dealt = dealt.repartitionById(shards * each, F.col(fine)["n"]).sortWithinPartitions(h, d)
     dealt = dealt.withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    offset = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col(fine) + 1)
-    dealt = dealt.withColumns({law: F.lit(LAW), number: F.floor(F.col(fine) / each).cast("int"), slot: offset + F.col(place), grown: F.lit(None).cast("int")})
+    dealt = dealt.withColumns({law: F.lit(LAW), number: F.floor(F.col(fine)["n"] / each).cast("int"), slot: F.col(fine)["slot"] + F.col(place), grown: F.lit(None).cast("int")})
     return dealt.drop(h, d, fine, place)

@@ -10,7 +10,9 @@ them into feature vectors, so the driver holds sample x dims numbers whatever th
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text if no labelled one exists;
 with one language in training that language is predicted with score 1; lang values that are null are not learnt from;
-repeated rows get the same prediction; an empty table gives no rows.
+repeated rows get the same prediction, and teach once; texts of any length are read whole; equal votes go by the sum of
+margins, then by name; all columns are kept, and added ones take a trailing underscore where a name is taken; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -209,7 +211,8 @@ def train(labelled: DataFrame, sample: int = 1600, dims: int = 4096) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs, then the language and its score."""
+    """All columns of docs, then the language and its score, under names with a trailing underscore where docs has them."""
+    lang, score = common.fresh(docs, lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given_names = docs.columns
 

@@ -66,13 +66,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, most: int = 1024) ->
         raise ValueError("the longest piece must be a power of two")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = common.table(cut.mapInArrow(_pieces(vocabulary, end_id, most), SCHEMA), "pieces")
-    counts = {(r["length"], r["task"]): r["n"] for r in pieces.groupBy("length", "task").agg(F.count("*").alias("n")).collect()}
-    tasks, total, first = 1 + max((t for _, t in counts), default=0), 0, [0] * 0
-    lengths = [1 << b for b in range(most.bit_length())]
-    for length in lengths:
-        for task in range(tasks):
-            first.append(total)
-            total += counts.get((length, task), 0)
-    row = F.log2(F.col("length").cast("double")).cast("int") * tasks + F.col("task")
-    offset = F.element_at(F.lit(first).cast("array<bigint>"), row + 1)
-    return pieces.select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", (offset + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counted = common.table(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counted")
+    sums, base = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, F.lit(0).cast("long")
+    for length in sums:  # a row for each power of two at most
+        base = F.when(F.col("length") == length, F.lit(sum(n for k, n in sums.items() if k < length)).cast("long")).otherwise(base)
+    placed = common.small_join(pieces, common.offsets(counted, ["length"], "task", "n", "before"), ["length", "task"])
+    number = (base + F.col("before") + F.col("place")).alias("sequence_id")
+    return placed.select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", number, F.lit(0).cast("long").alias("offset"))

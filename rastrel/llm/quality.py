@@ -12,7 +12,9 @@ The driver holds buckets x dims sums and sample x (2 dims + 2) features.
 
 Defined cases: a null or empty text has zero features and gets the score the network gives those; a doc_id with several
 labels takes the largest; null labels and null doc_ids teach nothing; without labels of both kinds every score is the
-share of 1 among those there are, or 0.5; an empty table gives no rows.
+share of 1 among those there are, or 0.5; repeated rows get the same score, and a doc_id with several texts teaches one of
+them; equal features have equal scores; texts of any length are read whole; other columns, whatever their names, are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -196,7 +198,8 @@ def score(docs: DataFrame, labels: DataFrame, usable, shape: Shape = Shape(), la
     total = known.count()
     turn = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 20))
     chosen = known.where(turn < int(min(1.0, 0.95 * shape.sample / max(1, total)) * (1 << 20)) if total > shape.sample else F.lit(True))
-    taken = sorted(rows.join(chosen, "doc_id").select("doc_id", "y", "x").distinct().limit(2 * shape.sample).collect())
+    once = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x"))  # a repeated doc_id teaches once
+    taken = sorted(once.select("doc_id", "y", "x").collect())
     x = np.array([np.frombuffer(r["x"], np.float32) for r in taken]).reshape(len(taken), 2 * shape.dims + 2)
     shared = docs.sparkSession.sparkContext.broadcast(train(x, np.array([r["y"] for r in taken], np.int64), shape.hidden))
 

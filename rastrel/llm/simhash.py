@@ -11,12 +11,13 @@ those not yet reached, which gives a spanning forest: no connection is lost and
 
 Defined cases: a null text is like an empty one; a text without words has fingerprint zero, linked like any other; fewer
 than `size` words are one shingle; a null doc_id takes no part in the smallest id of a component, and a component of
-such rows alone has a null id; repeated rows share a fingerprint; an empty table gives no rows.
+such rows alone has a null id; repeated rows share a fingerprint; texts of any length are read whole; keep_one() keeps all
+columns, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,18 +95,31 @@ def _replicate(given):
 
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints."""
-    if len(values) > WIDE:  # by bytes: a pair within 3 bits has equal bytes, and pairs are compared only under those
-        found = []
-        for byte in range(0, 64, 8):
-            key = values >> byte & 0xFF
-            order = np.argsort(key, kind="stable")
-            for run in np.split(values[order], np.flatnonzero(np.diff(key[order])) + 1):
-                if 1 < len(run) < len(values):
-                    found += _forest(run, radius)
-                elif len(run) == len(values):
-                    found += _search(run, radius)
-        return found
-    return _search(values, radius)
+    if len(values) <= WIDE:
+        return _search(values, radius)
+    varied = [byte for byte in range(0, 64, 8) if ((values >> byte ^ values[0] >> byte) & 0xFF).any()]
+    if len(varied) <= radius:  # a pair may differ in all of these bytes, so it is looked for by the bits in which it may differ
+        return _flips(values, [byte + i for byte in varied for i in range(8)], radius)
+    found = []  # else a pair has one of these bytes in common, and is looked for among the values that share it
+    for byte in varied:
+        key = values >> byte & 0xFF
+        order = np.argsort(key, kind="stable")
+        for run in np.split(values[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(run) > 1:
+                found += _forest(run, radius)
+    return found
+
+
+def _flips(values: np.ndarray, bits: list[int], radius: int) -> list[tuple[int, int]]:
+    """All links among distinct values that differ in these bits only."""
+    ordered, found = np.sort(values), []
+    for r in range(1, radius + 1):
+        for some in combinations(bits, r):
+            other = ordered ^ np.bitwise_or.reduce(np.int64(1) << np.array(some))
+            at = np.minimum(np.searchsorted(ordered, other), len(ordered) - 1)
+            own = np.flatnonzero((ordered[at] == other) & (ordered < other))
+            found += zip(ordered[own].tolist(), other[own].tolist())
+    return found
 
 
 def _search(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -208,12 +222,12 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each component: the smallest doc_id's, null ids last; repeated rows count once."""
     found = common.table(_classified(docs, size, radius).select("doc_id", "text_hash", "least"), "found")
     is_least = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
-    here, there, digest = common.fresh(docs, "_id", "_digest", "_text_hash")
+    here, there, none, digest = common.fresh(docs, "_id", "_digest", "_none", "_text_hash")
     rows = found.where(is_least).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     rows = common.table(rows, "kept")
-    kept = rows.select(F.coalesce("doc_id", F.lit(-1)).alias(here), F.col("text_hash").alias(there), F.col("doc_id").isNull().alias("_none"))
+    kept = rows.select(F.coalesce("doc_id", F.lit(-1)).alias(here), F.col("text_hash").alias(there), F.col("doc_id").isNull().alias(none))
     marked = docs.withColumn(digest, text_hash(docs))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col(here)) & (F.col(digest) == F.col(there)) & (docs["doc_id"].isNull() == F.col("_none"))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col(here)) & (F.col(digest) == F.col(there)) & (docs["doc_id"].isNull() == F.col(none))
     one = marked.join(kept, same, "left_semi")
     if rows.where("n > 1").limit(1).count():
         one = one.dropDuplicates(["doc_id", digest])

@@ -20,7 +20,8 @@ Two passes read whole texts of all documents (counts, then scores), and joins wi
 
 Defined cases: a null or empty text has no terms; a doc_id with several labels takes the largest; null labels and null
 doc_ids teach nothing; without labels of both kinds each score is the share of 1 among those there are, or 0.5; repeated
-rows get the same score; an empty table gives no rows.
+rows get the same score; a doc_id with several texts is one example; texts of any length are read whole; other columns, whatever
+their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -345,7 +346,8 @@ def score(docs: DataFrame, labels: DataFrame, usable, shape: Shape = Shape(), la
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     rows, names, listed = [], [], []
     if 0 < toxic < total:
-        texts = whole.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.xxhash64("text").alias("digest")).agg(F.first("text").alias("text"), F.first("y").alias("y"))
+        texts = whole.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.xxhash64("text"))
+        texts = texts.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.min_by("text", "digest").alias("text"), F.first("y").alias("y"))  # a repeated doc_id is one example
         texts = common.table(texts, "examples")
         picked = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if len(picked) == 2:

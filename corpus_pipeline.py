@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from rastrel.llm import common, decontam, langid, packing, pii, queries, simhash
 
+#: The least probability of a predicted language that keeps a document.
+SURE = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language can't be told: null texts and texts without a letter. lang stays as given."""
+    """Drops the documents whose language the model can't tell: null texts, texts without a letter (`und`), and those it is less
+    than `SURE` sure of. Where no row names a language there is no model, and only the first two go. lang stays as given."""
     model = langid.train(docs.where(~common.held_out(F.col("doc_id"), 3, 1)).select("text", "lang"))
-    if not model.langs:
-        return docs
     found, score = common.fresh(docs, "_lang", "_score")
-    return langid.predict(docs, model, found, score).where(F.col(found) != langid.UNKNOWN).drop(found, score)
+    told = langid.predict(docs, model, found, score)
+    sure = (F.col(found) != langid.UNKNOWN) & (F.col(score) >= SURE) if model.langs else F.col("text").rlike(r"\p{L}")
+    return told.where(sure).drop(found, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from . import batches, common, tokens
 
 BLOCK = 2048
 MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
-FRAME_IDS = 1 << 23
+FRAME_IDS = 1 << 22
 MAGIC, VERSION = b"RIDC", 2
 _HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
 

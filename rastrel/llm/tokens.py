@@ -24,8 +24,8 @@ _CUT_BYTES = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Texts whose white space is single spaces and line ends within; the others are cut by _CUT_BYTES.
 _ODD = r"^\s|\s$|\s\s|[^\S \n]|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LONGEST = 64
-MOST = 500_000
-MOST_BYTES = 48 << 20
+MOST = 250_000
+MOST_BYTES = 24 << 20
 
 
 def _byte_letters() -> dict[int, int]:

@@ -32,6 +32,21 @@ def components(grid: np.ndarray) -> np.ndarray:
     return np.unique(up, return_inverse=True)[1].reshape(grid.shape).astype(np.int32)
 
 
+def components_of_many(values: np.ndarray, sizes: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """components() of several grids that lie one after the other: those of one width are numbered as one tall grid, then each from 0."""
+    out, ends = np.empty(len(values), np.int32), np.cumsum(sizes)
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        at = np.arange(sizes[own].sum()) + np.repeat(ends[own] - np.cumsum(sizes[own]), sizes[own])
+        label = values[at].astype(np.int64)
+        image = np.repeat(np.arange(len(own)), sizes[own])
+        label = (label - label.min()) + image * (label.max() - label.min() + 1)  # no two images share one
+        regions = components(label.reshape(-1, width)).ravel()
+        firsts = regions[np.cumsum(sizes[own]) - sizes[own]]
+        out[at] = regions - np.repeat(firsts, sizes[own])
+    return out
+
+
 def borders(regions: np.ndarray) -> dict[int, dict[int, int]]:
     """Unit edges between regions, in both directions."""
     p = np.concatenate([regions[:, :-1].ravel(), regions[:-1].ravel()])

@@ -69,16 +69,11 @@ def downsample(pixels: DataFrame, factor: int) -> DataFrame:
     """Box means of factor x factor pixels; what doesn't fill a box is left out."""
     sizes = px.size(pixels).select("image_id", "width", "height")
     whole = lambda c, n: F.col(c) < F.floor(F.col(n) / factor) * factor
-    inside = pixels.join(F.broadcast(sizes) if _few(sizes) else sizes, "image_id").where(whole("x", "width") & whole("y", "height"))
+    inside = pixels.join(sizes, "image_id").where(whole("x", "width") & whole("y", "height"))
     by = ["image_id", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")]
     return inside.groupBy(*by).agg(*(F.avg(c).alias(c) for c in "rgba"))
 
 
-def _few(sizes: DataFrame, most: int = 100_000) -> bool:
-    """Whether a row for each image is safe to broadcast: counted, up to one more than allowed."""
-    return sizes.limit(most + 1).count() <= most
-
-
 def resized(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Plain means over the source pixels floor(x * s) to max(ceil((x + 1) * s), that + 1) of each side; windows may overlap."""
     return _resized(pixels, px.size(pixels).select("image_id", "width", "height", F.lit(width).alias("w"), F.lit(height).alias("h")))

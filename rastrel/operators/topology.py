@@ -15,16 +15,23 @@ from .segment import OUTSIDE
 
 def cracks(regions: DataFrame) -> DataFrame:
     """image_id, kind, x, y, left, right: the sides when walked from the first node to the second."""
-    inside = F.lit(OUTSIDE)
-    above = F.coalesce(F.lag("region").over(along_column()), inside)
-    before = F.coalesce(F.lag("region").over(along_row()), inside)
-    h = regions.select("image_id", F.lit("H").alias("kind"), "x", "y", above.alias("left"), F.col("region").alias("right"))
-    v = regions.select("image_id", F.lit("V").alias("kind"), "x", "y", F.col("region").alias("left"), before.alias("right"))
-    last_row = regions.withColumn("end", F.lead("region").over(along_column()).isNull()).where("end")
-    last_column = regions.withColumn("end", F.lead("region").over(along_row()).isNull()).where("end")
-    bottom = last_row.select("image_id", F.lit("H"), "x", F.col("y") + 1, "region", inside)
-    side = last_column.select("image_id", F.lit("V"), F.col("x") + 1, "y", inside, "region")
-    return h.unionAll(bottom).unionAll(v).unionAll(side).where(F.col("left") != F.col("right"))
+    outside, region = F.lit(OUTSIDE), F.col("region")
+    above, before = F.lag("region").over(along_column()), F.lag("region").over(along_row())
+    below, after = F.lead("region").over(along_column()), F.lead("region").over(along_row())
+    sides = regions.select("image_id", "x", "y", "region", *(c.alias(n) for c, n in zip((above, before, below, after), ("above", "before", "below", "after"))))
+
+    def crack(kind: str, x, y, left, right):
+        return F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), left.alias("left"), right.alias("right"))
+
+    x, y = F.col("x"), F.col("y")
+    of_pixel = F.array(
+        crack("H", x, y, F.coalesce("above", outside), region),
+        crack("V", x, y, region, F.coalesce("before", outside)),
+        F.when(F.col("below").isNull(), crack("H", x, y + 1, region, outside)),
+        F.when(F.col("after").isNull(), crack("V", x + 1, y, outside, region)),
+    )
+    real = F.filter(of_pixel, lambda c: c.isNotNull() & (c["left"] != c["right"]))
+    return sides.select("image_id", F.explode(real).alias("c")).select("image_id", "c.*")
 
 
 def nodes(cracks_: DataFrame) -> DataFrame:

@@ -15,6 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def inside(points: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Even-odd, half-open in y."""
+    odd = np.zeros(x.shape, bool)
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+        if ay != by:
+            odd ^= ((ay > y) != (by > y)) & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax)
+    return odd
+
+
 @dataclass(frozen=True)
 class Item:
     kind: str  # "polygon", "disc" or "ring"
@@ -33,6 +42,14 @@ class Item:
         d = (x - cx) * (x - cx) + (y - cy) * (y - cy)
         return (d <= outer * outer) & (d >= inner[0] * inner[0]) if inner else d <= outer * outer
 
+    def holds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """contains() of arrays."""
+        if self.kind == "polygon":
+            return inside(self.points, x, y)
+        cx, cy, outer, *inner = self.points
+        d = (x - cx) * (x - cx) + (y - cy) * (y - cy)
+        return (d <= outer * outer) & (d >= (inner[0] * inner[0] if inner else 0))
+
     def svg(self) -> str:
         fill = f'fill="#{"".join(f"{c:02x}" for c in self.colour)}"'
         if self.kind == "polygon":
@@ -60,6 +77,19 @@ class Scene:
         return "\n".join([f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}">', *back, *(i.svg() for i in self.items), "</svg>"])
 
 
+    def make(self, first: int = 0, end: int | None = None) -> np.ndarray:
+        """The pixels of some rows, 0..1, as render() has them."""
+        s, end = self.supersample, self.height if end is None else end
+        x, y = np.meshgrid((np.arange(self.width * s) + 0.5) / s, (np.arange(first * s, end * s) + 0.5) / s)
+        top = np.broadcast_to([*(c / 255 for c in self.background), 1.0] if self.background else np.zeros(4), (*x.shape, 4)).copy()
+        for item in self.items:
+            top[item.holds(x, y)] = [*(c / 255 for c in item.colour), 1.0]
+        cells = top.reshape(end - first, s, self.width, s, 4)
+        alpha = cells[..., 3:].sum((1, 3))
+        rgb = (cells[..., :3] * cells[..., 3:]).sum((1, 3)) / np.where(alpha > 0, alpha, 1)
+        return np.dstack([rgb, alpha / (s * s)])
+
+
 def regular(cx: float, cy: float, r: float, sides: int, turn: float) -> tuple:
     return tuple((cx + r * math.cos(turn + math.tau * k / sides), cy + r * math.sin(turn + math.tau * k / sides)) for k in range(sides))
 
@@ -134,11 +164,7 @@ def noisy_shapes() -> np.ndarray:
     x, y = np.meshgrid((np.arange(w * s) + 0.5) / s, (np.arange(h * s) + 0.5) / s)
     top = np.full((h * s, w * s, 3), 250 / 255)
     for points, colour in ((box(20, 20, 84, 120), (40, 40, 120)), (star(130, 70, 44, 19, 5), (220, 120, 30))):
-        odd = np.zeros(x.shape, bool)
-        for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
-            if ay != by:
-                odd ^= ((ay > y) != (by > y)) & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax)
-        top[odd] = np.array(colour) / 255
+        top[inside(points, x, y)] = np.array(colour) / 255
     clean = np.dstack([top.reshape(h, s, w, s, 3).mean((1, 3)), np.ones((h, w))])
     return add_noise(add_block_artifacts(clean, 0.35), 0.02, 0x5A17)
 
@@ -169,22 +195,35 @@ SUITE = (
 )
 
 
-def drawn(spark: SparkSession, picture: Picture, image_id: int = 0) -> DataFrame:
-    """The picture's pixels, made on an executor."""
+EDGES = 48
+BAND = 32  # rows of a scene that are painted at a time
+
+
+def drawn(spark: SparkSession, images: dict[int, Scene | Picture]) -> DataFrame:
+    """The pixels of some images by number, made on executors: scenes in bands of rows, pictures whole."""
+    bands = [(i, a, min(m.height, a + (BAND if isinstance(m, Scene) else m.height))) for i, m in images.items() for a in range(0, m.height, BAND if isinstance(m, Scene) else m.height)]
 
     def run(frames):
         for frame in frames:
-            for _ in range(len(frame)):
-                y, x = np.divmod(np.arange(picture.width * picture.height), picture.width)
-                yield pd.DataFrame({"image_id": image_id, "y": y, "x": x, **dict(zip("rgba", picture.make().reshape(-1, 4).T))})
+            for n in frame["id"]:
+                i, first, end = bands[n]
+                image = images[i]
+                pixels = image.make(first, end) if isinstance(image, Scene) else image.make()
+                y, x = np.divmod(np.arange(pixels.shape[0] * image.width), image.width)
+                yield pd.DataFrame({"image_id": i, "y": y + first, "x": x, **dict(zip("rgba", pixels.reshape(-1, 4).T))})
 
-    return spark.range(1).mapInPandas(run, "image_id long, y int, x int, r double, g double, b double, a double")
+    parts = min(len(bands), 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, len(bands), 1, parts).mapInPandas(run, "image_id long, y int, x int, r double, g double, b double, a double")
 
 
 def render(spark: SparkSession, scene: Scene | Picture, image_id: int = 0) -> DataFrame:
-    """Pixels by the mean of supersample x supersample samples, each item laid over the last in gamma space."""
-    if isinstance(scene, Picture):
-        return drawn(spark, scene, image_id)
+    """Pixels by the mean of supersample x supersample samples, each item laid over the last in gamma space.
+
+    A scene of few edges is one declarative plan; each edge is an expression of its own there, and more of them than `EDGES`
+    are too much code for one stage, so those scenes and pictures are painted by NumPy.
+    """
+    if isinstance(scene, Picture) or sum(len(i.points) for i in scene.items if i.kind == "polygon") > EDGES:
+        return drawn(spark, {image_id: scene})
     s, w, h = scene.supersample, scene.width, scene.height
     i = F.col("id")
     samples = spark.range(w * h * s * s).select((i % (w * s)).alias("sx"), F.floor(i / (w * s)).alias("sy"))
@@ -201,9 +240,5 @@ def render(spark: SparkSession, scene: Scene | Picture, image_id: int = 0) -> Da
 
 
 def suite(spark: SparkSession) -> DataFrame:
-    """All scenes' pixels; image_id is the place in SUITE."""
-    parts = [render(spark, s, i) for i, s in enumerate(SUITE)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    """All images' pixels; image_id is the place in SUITE."""
+    return drawn(spark, dict(enumerate(SUITE)))

@@ -18,6 +18,9 @@ def session(cores: str):
     return spark
 
 
+SMOOTH = (3, 4.0)
+
+
 def chosen(args) -> Config:
     """The preset with only what the command line gave; a preset's own settings stay otherwise."""
     cfg = PRESETS[args.preset]
@@ -42,10 +45,14 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("image")
         p.add_argument("-o", "--output", required=True)
         p.add_argument("--target", type=float, default=99.0)
+        if name == "auto":
+            p.add_argument("--max-side", type=int, default=0, help="search on a copy no larger than this")
+            p.add_argument("--smooth", action="store_true", help="measure against the smoothed original, for JPEG damage")
     p = commands.add_parser("score")
     p.add_argument("image")
     p.add_argument("vector")
     p.add_argument("--threshold", type=float, default=2.0)
+    p.add_argument("--smooth", action="store_true", help="measure against the smoothed original, for JPEG damage")
     commands.add_parser("gen").add_argument("folder")
     commands.add_parser("inspect").add_argument("image")
     commands.add_parser("bench", parents=[settings])
@@ -74,7 +81,8 @@ def main(argv: list[str] | None = None) -> int:
     images = pixels.read_images(spark, args.image)
     one = lambda: trace.unpacked(*(lambda r: (r["width"], r["height"], bytes(r["data"])))(images.first()))
     if args.command == "score":
-        found = paint.compare(one(), paint.rasterise(pathlib.Path(args.vector).read_text()), args.threshold)
+        original = trace.reference(one(), Config(), SMOOTH if args.smooth else None)
+        found = paint.compare(original, paint.rasterise(pathlib.Path(args.vector).read_text()), args.threshold)
         print(report.metrics_text(found, args.threshold))
     elif args.command == "inspect":
         image = one()
@@ -82,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         cfg = chosen(args).with_(output__format=format_for(args.output))
         if args.command == "auto":
-            found = [r.asDict() for r in trace.auto_select(images, args.target).orderBy("place").collect()]
+            found = [r.asDict() for r in trace.auto_select(images, args.target, max_side=args.max_side, smooth=SMOOTH if args.smooth else None, transparent=cfg.segment.transparent).orderBy("place").collect()]
             print(report.candidates_text(found, args.target))
             cfg = Config.from_json(found[0]["config"]).with_(output__format=cfg.output.format)
         row = trace.trace(images, {"cli": cfg}).first()

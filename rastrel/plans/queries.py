@@ -139,13 +139,23 @@ def lab_grid(spark, sf_dir):
     return rounded(t.select("image_id", "y", "x", "lab.*"), 4)
 
 
-@query(WITH + "SELECT image_id, count(*) AS n, CAST(0 AS BIGINT) AS moved FROM px GROUP BY 1")
-def lab_roundtrip(spark, sf_dir):
-    """Pixels that differ by more than 1e-4 after conversion to Lab and back: none."""
-    t = tiles(spark, sf_dir).select("image_id", *"rgb", colour.lab(*px.rgb()).alias("lab"))
-    back = t.select("image_id", *"rgb", *(c.alias(f"{n}2") for c, n in zip(colour.lab_to_srgb(F.col("lab")), "rgb")))
-    far = F.greatest(*(F.abs(F.col(c) - F.col(f"{c}2")) for c in "rgb")) > 1e-4
-    return back.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("moved"))
+def _back_sql() -> str:
+    """r, g, b of l_, a_, b_, clamped."""
+    f = ("((l_ + 16) / 116 + a_ / 500)", "((l_ + 16) / 116)", "((l_ + 16) / 116 - b_ / 200)")
+    xyz = [f"(CASE WHEN pow({t}, 3) > 216.0 / 24389 THEN pow({t}, 3) ELSE ({t} * 116 - 16) * 27 / 24389 END * {w!r})" for t, w in zip(f, colour.WHITE)]
+    out = []
+    for row, name in zip(colour.FROM_XYZ, "rgb"):
+        c = "greatest(" + " + ".join(f"{v} * {m!r}" for v, m in zip(xyz, row)) + ", 0)"
+        out.append(f"round(greatest(least(CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE 1.055 * pow({c}, 1 / 2.4) - 0.055 END, 1), 0), 4) AS {name}")
+    return ", ".join(out)
+
+
+@query(WITH + f"SELECT image_id, y, x, {_back_sql()} FROM (SELECT image_id, y, x, r * 100 AS l_, (g - 0.5) * 120 AS a_, (b - 0.5) * 120 AS b_ FROM px)")
+def lab_to_rgb(spark, sf_dir):
+    """Pixels read as Lab, to gamma sRGB."""
+    at = F.struct((F.col("r") * 100).alias("l"), ((F.col("g") - 0.5) * 120).alias("a"), ((F.col("b") - 0.5) * 120).alias("b"))
+    t = tiles(spark, sf_dir).select("image_id", "y", "x", at.alias("lab"))
+    return rounded(t.select("image_id", "y", "x", *(c.alias(n) for c, n in zip(colour.lab_to_srgb(F.col("lab")), "rgb"))), 4)
 
 
 _PAIR = "SELECT image_id, y, x, {0} AS l1, {1} AS a1, {2} AS b1, {3} AS l2, {4} AS a2, {5} AS b2 FROM px".format(*lab_sql("r", "g", "b"), *lab_sql("g", "b", "r"))
@@ -298,7 +308,17 @@ def scoring_reference(spark, sf_dir):
     return quantize.scoring_reference(tiles(spark, sf_dir), KEYS, 20.0).select("image_id", "y", "x", "a")
 
 
-@query()
+def _transparent_sql(tolerance: float) -> str:
+    keys = [lab_sql(*(f"{v!r}::DOUBLE" for v in k)) for k in quantize.hex_labs(KEYS)]
+    near = lambda p, k: "(" + " + ".join(f"pow({x} - {y}, 2)" for x, y in zip(p, k)) + f" <= {tolerance * tolerance})"
+    own = ("pl", "pa", "pb")
+    none = [f"NOT EXISTS (SELECT 1 FROM pe WHERE {near(own, k)})" for k in keys]
+    rows = [f"SELECT entry, {' OR '.join(near(own, k) for k in keys)} AS transparent FROM pe", f"SELECT {len(PALETTE)}, true WHERE {none[0]}"]
+    rows.append(f"SELECT {len(PALETTE)} + CAST({none[0]} AS INTEGER), true WHERE {none[1]} AND NOT ({none[0]} AND {near(keys[0], keys[1])})")
+    return f"WITH {_ENTRIES} SELECT entry, transparent, count(*) AS n FROM (" + " UNION ALL ".join(rows) + "), embeddings GROUP BY 1, 2"
+
+
+@query(_transparent_sql(20.0))
 def transparent_keys(spark, sf_dir):
     p = quantize.mark_transparent(_palettes(spark, sf_dir), KEYS, 20.0)
     return p.select(F.explode("palette").alias("p")).groupBy("p.entry", "p.transparent").agg(F.count("*").alias("n"))
@@ -318,6 +338,12 @@ def components_tiles(spark, sf_dir):
     return regions(spark, sf_dir)
 
 
+@query(RWITH + "SELECT image_id, y, x, label, region FROM rg")
+def components_large(spark, sf_dir):
+    """The form for images larger than a worker: star contraction over neighbour edges."""
+    return segment.components_relational(labels(spark, sf_dir))
+
+
 @query(RWITH + "SELECT image_id, region, any_value(label) AS label, count(*) AS area FROM rg GROUP BY 1, 2")
 def region_area(spark, sf_dir):
     return segment.region_table(regions(spark, sf_dir))
@@ -448,17 +474,29 @@ def latest_generation(spark, sf_dir):
     return requests.latest(e, "user_id", "ts")
 
 
+@query("""SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM
+ (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events)) GROUP BY user_id, burst""")
+def debounced_requests(spark, sf_dir):
+    """The last event of each burst of a user's events that follow each other within half an hour."""
+    return requests.debounced(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "30 minutes")
+
+
 # --- geometry --------------------------------------------------------------------------------------------------------
 
 _ANGLE = "radians(p_partkey % 90)"
 
 
-@query(f"SELECT p_partkey, round((p_retailprice % 101) / 101 * 0.98 + 0.01, 5) AS share FROM part")  # noqa: F541
+_SIDE = "SELECT p_partkey, (p_retailprice % 101) / 101 * 0.98 + 0.01 AS c, greatest(abs(cos({0})), abs(sin({0}))) AS a, least(abs(cos({0})), abs(sin({0}))) AS b FROM part".format(_ANGLE)
+
+
+@query(f"""SELECT p_partkey, round(CASE WHEN c < 0.5 THEN -s ELSE s END, 5) AS distance, round(c, 5) AS share FROM
+ (SELECT *, CASE WHEN least(c, 1 - c) >= b / (a * 2) THEN (0.5 - least(c, 1 - c)) * a ELSE (a + b) / 2 - sqrt(least(c, 1 - c) * a * b * 2) END AS s FROM ({_SIDE}))""")
 def coverage_inverse(spark, sf_dir):
+    """How far from its centre an edge cuts a pixel that is covered by this share, and the share that this distance gives."""
     share = (F.col("p_retailprice") % 101) / 101 * 0.98 + 0.01
     nx, ny = F.cos(F.radians(F.col("p_partkey") % 90)), F.sin(F.radians(F.col("p_partkey") % 90))
-    back = geometry.coverage(geometry.coverage_inverse(share, nx, ny), nx, ny)
-    return rounded(table(spark, sf_dir, "part").select("p_partkey", back.alias("share")))
+    far = geometry.coverage_inverse(share, nx, ny)
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", far.alias("distance"), geometry.coverage(far, nx, ny).alias("share")))
 
 
 def _part_points(spark, sf_dir):
@@ -485,15 +523,20 @@ def line_distance(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").select("p_partkey", geometry.dist_point_line(q, o, p).alias("to_line"), geometry.turn_angle(o, p, q).alias("turn")))
 
 
-@query("""SELECT p_partkey, round(r, 5) AS r_min, round(r, 5) AS r_max, CAST(pieces AS INTEGER) AS pieces FROM (SELECT p_partkey, p_size + 20.0 AS r, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END AS pieces FROM part)""")
+_TURN = "(CASE WHEN p_partkey % 2 = 0 THEN pi() / 2 ELSE -pi() / 2 END)"
+_KNOT = lambda c, e: f"round({c}, 5) + 0.0 AS {e}"
+
+
+@query(f"""SELECT p_partkey, CAST(i AS INTEGER) AS seq, {_KNOT('r * cos(b) - k * sin(b)', 'x1')}, {_KNOT('r * sin(b) + k * cos(b)', 'y1')}, {_KNOT('r * cos(e) + k * sin(e)', 'x2')}, {_KNOT('r * sin(e) - k * cos(e)', 'y2')},
+ {_KNOT('r * cos(e)', 'x')}, {_KNOT('r * sin(e)', 'y')} FROM (SELECT *, r * 4 / 3 * tan((e - b) / 4) AS k FROM (SELECT p_partkey, p_size + 20.0::DOUBLE AS r, i, i * {_TURN} AS b, (i + 1) * {_TURN} AS e
+ FROM part, range(3) t(i) WHERE i < CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END))""")
 def arc_to_cubics(spark, sf_dir):
-    """A quarter or three quarters of a circle of radius r round the origin: every piece ends on the circle."""
+    """A quarter or three quarters of a circle round the origin: control points and ends of every piece."""
     r, large = (F.col("p_size") + 20).cast("double"), F.col("p_partkey") % 2 == 1
     pieces = geometry.arc_to_cubics(geometry.point(r, F.lit(0)), r, large, ~large, geometry.point(F.lit(0), r))
-    t = table(spark, sf_dir, "part").select("p_partkey", pieces.alias("c"))
-    far = F.transform("c", lambda p: F.sqrt(p["to"]["x"] * p["to"]["x"] + p["to"]["y"] * p["to"]["y"]))
-    around = F.transform("c", lambda p: p)  # the centre is the origin for both flags
-    return rounded(t.select("p_partkey", F.array_min(far).alias("r_min"), F.array_max(far).alias("r_max"), F.size(around).alias("pieces")))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(pieces).alias("seq", "c"))
+    at = lambda p, k, n: (F.round(F.col(f"c.{p}.{k}"), 5) + 0.0).alias(n)
+    return t.select("p_partkey", "seq", at("c1", "x", "x1"), at("c1", "y", "y1"), at("c2", "x", "x2"), at("c2", "y", "y2"), at("to", "x", "x"), at("to", "y", "y"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(sign(v) * floor(abs(v) * 100 + 0.5) / 100 AS DOUBLE) AS v2 FROM (SELECT l_orderkey, l_linenumber, l_extendedprice * (l_discount - 0.05) AS v FROM lineitem)")
@@ -502,13 +545,16 @@ def round_half_away(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (geometry.half_away(v, 2) + 0.0).alias("v2"))
 
 
-_CASES = ((1.0, "1"), (1.5, "1.5"), (1.23456, "1.235"), (-0.0001, "0"), (-12.25, "-12.25"), (1200.0, "1200"), (0.0005, "0.001"))
+_SHORT = "regexp_replace(regexp_replace(printf('%.3f', sign(v) * floor(abs(v) * 1000 + 0.5) / 1000), '0+$', ''), '[.]$', '')"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, (_, s) in enumerate(_CASES)) + ") t(i, text)")
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN {_SHORT} IN ('-0', '') THEN '0' ELSE {_SHORT} END AS text FROM
+ (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN round(l_quantity) WHEN 1 THEN (l_discount - 0.05) * l_extendedprice / 7 ELSE (l_discount - 0.05) / 128 END AS v FROM lineitem)""")
 def number_format(spark, sf_dir):
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, (v, _) in enumerate(_CASES)))).alias("c")
-    return spark.range(1).select(rows).select("c.i", geometry.number(F.col("c.v"), 3).alias("text"))
+    """Whole numbers, long fractions, and numbers that are nothing after rounding."""
+    q, d, p = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
+    v = F.when(F.col("l_linenumber") % 3 == 0, F.round(q)).when(F.col("l_linenumber") % 3 == 1, (d - 0.05) * p / 7).otherwise((d - 0.05) / 128)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.number(v, 3).alias("text"))
 
 
 # --- scenes, tracing, search -----------------------------------------------------------------------------------------
@@ -516,9 +562,50 @@ def number_format(spark, sf_dir):
 _HARD = scenes.SUITE[0]
 
 
-@query("""SELECT CAST(round(r * 255) AS INTEGER) AS r, count(*) AS n FROM (SELECT CASE WHEN x >= 70 AND x < 140 AND y >= 50 AND y < 100 THEN 220 WHEN x >= 20 AND x < 100 AND y >= 20 AND y < 70 THEN 30 ELSE 255 END / 255.0 AS r FROM range(160) a(x), range(120) b(y)) GROUP BY 1""")
+_BOX = lambda c: "CASE WHEN x >= 70 AND x < 140 AND y >= 50 AND y < 100 THEN {} WHEN x >= 20 AND x < 100 AND y >= 20 AND y < 70 THEN {} ELSE 255 END".format(*c)
+
+
+@query(f"SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {_BOX((220, 30))} AS r, {_BOX((60, 60))} AS g, {_BOX((40, 180))} AS b FROM range(160) a(x), range(120) b(y)")
 def scene_hard(spark, sf_dir):
-    return scenes.render(spark, _HARD).groupBy(F.round(F.col("r") * 255).cast("int").alias("r")).agg(F.count("*").alias("n"))
+    return scenes.render(spark, _HARD).select("y", "x", *(F.round(F.col(c) * 255).cast("int").alias(c) for c in "rgb"))
+
+
+def _polygons_sql(scene: scenes.Scene) -> str:
+    """Each sample takes the colour of the last polygon of which an odd number of edges lies to its right."""
+    edges = ", ".join(
+        f"({k}, {float(ax)!r}::DOUBLE, {float(ay)!r}::DOUBLE, {float(bx)!r}::DOUBLE, {float(by)!r}::DOUBLE)"
+        for k, item in enumerate(scene.items) for (ax, ay), (bx, by) in zip(item.points, item.points[1:] + item.points[:1]) if ay != by
+    )
+    colours = ", ".join(f"({k}, {item.colour[0]}, {item.colour[1]}, {item.colour[2]})" for k, item in enumerate(scene.items))
+    s, back = scene.supersample, scene.background
+    means = ", ".join(f"round(avg(coalesce(c.{c}, {v})) / 255, 4) AS {c}" for c, v in zip("rgb", back))
+    return f"""WITH ed AS (SELECT * FROM (VALUES {edges}) t(k, ax, ay, bx, by_)), co AS (SELECT * FROM (VALUES {colours}) t(k, r, g, b)),
+ sa AS (SELECT i, j, (i + 0.5) / {s} AS x, (j + 0.5) / {s} AS y FROM range({scene.width * s}) a(i), range({scene.height * s}) b(j)),
+ cr AS (SELECT i, j, k FROM sa JOIN ed ON (ay > y) <> (by_ > y) AND x < (y - ay) * ((bx - ax) / (by_ - ay)) + ax GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+ tp AS (SELECT i, j, max(k) AS k FROM cr GROUP BY 1, 2)
+ SELECT CAST(sa.j // {s} AS INTEGER) AS y, CAST(sa.i // {s} AS INTEGER) AS x, {means} FROM sa LEFT JOIN tp USING (i, j) LEFT JOIN co c USING (k) GROUP BY 1, 2"""
+
+
+@query(_polygons_sql(scenes.SUITE[2]))
+def scene_slants(spark, sf_dir):
+    return rounded(scenes.render(spark, scenes.SUITE[2]).select("y", "x", *"rgb"), 4)
+
+
+@query(_polygons_sql(scenes.SUITE[3]))
+def scene_junctions(spark, sf_dir):
+    """Too many edges for one generated stage: painted in bands."""
+    return rounded(scenes.render(spark, scenes.SUITE[3]).select("y", "x", *"rgb"), 4)
+
+
+@query("SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(0.15 + 0.7 * x / 159.0, 4) AS r, round(0.25 + 0.5 * y / 119.0, 4) AS g, round(0.85 - 0.5 * x / 159.0, 4) AS b FROM range(160) a(x), range(120) b(y)")
+def scene_gradient(spark, sf_dir):
+    return rounded(scenes.render(spark, next(s for s in scenes.SUITE if s.name == "gradient")).select("y", "x", *"rgb"), 4)
+
+
+@query("SELECT 'hard-rects' AS label, 3 AS shapes, 24 AS points, 0 AS handles, 0 AS cubics, 0 AS arcs")
+def trace_hard_rects(spark, sf_dir):
+    """Three shapes of straight lines only, at the published number of points."""
+    return trace.trace(trace.dense(scenes.render(spark, _HARD)), {"hard-rects": config.PRESETS["logo"]}).select("label", "shapes", "points", "handles", "cubics", "arcs")
 
 
 @query("""SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(avg(CASE WHEN d <= 52.4 * 52.4 THEN 25 ELSE 250 END) / 255, 4) AS r FROM (SELECT sy // 8 AS y, sx // 8 AS x, pow((sx + 0.5) / 8 - 80.3, 2) + pow((sy + 0.5) / 8 - 79.7, 2) AS d FROM range(1280) a(sx), range(1280) b(sy)) GROUP BY 1, 2""")
@@ -537,12 +624,12 @@ def _tile_images(spark, sf_dir) -> DataFrame:
 
 @query()
 def trace_tiles(spark, sf_dir):
-    return trace.trace(_tile_images(spark, sf_dir), {"black-and-white": config.PRESETS["black-and-white"]}).drop("config")
+    return trace.trace(_tile_images(spark, sf_dir), {"black-and-white": config.PRESETS["black-and-white"]}).drop("config", "ms")
 
 
 @query()
 def trace_scenes(spark, sf_dir):
-    return trace.trace(trace.dense(scenes.suite(spark)), {"logo": config.PRESETS["logo"]}).drop("config")
+    return trace.trace(trace.dense(scenes.suite(spark)), {"logo": config.PRESETS["logo"]}).drop("config", "ms")
 
 
 @query()

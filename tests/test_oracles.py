@@ -7,7 +7,8 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 QUICK = ("tile_pixels event_map lab_grid delta_e2000_pairs hex_roundtrip difference_gain downsample_box resize_area sample_bilinear flatness_sobel "
          "bilateral_r1 gaussian_blur block_artifacts otsu_threshold binary_palette kmeans_step region_area despeckle_target junctions crack_area ring_area "
-         "score_metrics ssim image_profile rank_candidates latest_generation coverage_inverse flatten_cubic arc_to_cubics round_half_away number_format scene_rings").split()
+         "score_metrics ssim image_profile rank_candidates latest_generation coverage_inverse flatten_cubic arc_to_cubics round_half_away number_format scene_rings "
+         "lab_to_rgb transparent_keys components_tiles cracks scene_hard scene_slants scene_junctions scene_gradient trace_hard_rects debounced_requests").split()
 
 
 @pytest.fixture(scope="module")

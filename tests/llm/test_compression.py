@@ -73,3 +73,37 @@ def test_verdicts():
 
 def test_empty_table(spark):
     assert c.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bands_tell_planted_noise_and_repetition_from_prose():
+    """Of each kind of planted text at least 19 of 20 are rejected from 2,000 bytes on, and by chunks inside long prose; of prose none."""
+    import base64
+
+    rng, limits = random.Random(1), c.Limits()
+    press = zstandard.ZstdCompressor(level=limits.level, write_content_size=False).compress
+    parts = "the ing and ou th er tion ent al is of re st en at in on es".split()
+    lexicon = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    word = lambda: lexicon[int(3000 * rng.random() ** 2.5)]
+
+    def prose(n):
+        out = []
+        while sum(map(len, out)) < n:
+            out.append(" ".join(word() for _ in range(rng.randint(5, 14))).capitalize() + rng.choice(".,?;"))
+        return " ".join(out)[:n].encode()
+
+    def noise(n):
+        raw = base64.b64encode(rng.randbytes(n)).decode()[:n]
+        return " ".join(raw[i : i + 40] for i in range(0, n, 40)).encode()
+
+    def template(n):
+        said = [" ".join(word() for _ in range(5)) for _ in range(6)]
+        return " ".join(f"{rng.choice(said)} {word()}" for _ in range(n // 30)).encode()
+
+    def rejected(text):
+        n_words, _, _, _, n_repeat = c.base(text)
+        return c.verdict(n_words, n_repeat, len(text), *c.ratios(text, limits, press), limits)[1] is not None
+
+    for n in (2000, 8000, 30000):
+        assert sum(rejected(prose(n)) for _ in range(20)) == 0
+        assert sum(rejected(noise(n)) for _ in range(20)) >= 19 and sum(rejected(template(n)) for _ in range(20)) >= 19
+    assert all(rejected(prose(6000) + b" " + make(4000) + b" " + prose(2000)) for make in (noise, template))

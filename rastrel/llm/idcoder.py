@@ -6,7 +6,7 @@ order 2, the same after the last two ids (hashed). A gate, adaptive and with a c
 the weights: the probabilities that order 2 is right, that order 1 is, that order 0 must say, or that the id is new to the
 block. The mixed frequencies drive a range coder with a 48-bit interval that sheds 16 bits at a time: a step for the gate,
 then one among the counts of order 0, or among all ids up to the frame's largest for a new one. Counts of order 0 are
-brought up to date at fixed places, whenever the block has grown by a quarter; slots that came since count once.
+brought up to date at fixed places, whenever the block has grown by half; slots that came since count once.
 
 All state is reset at each block, so blocks are coded side by side: the arrays below have one lane for each block of a
 frame and go through the blocks in step. The coder's numbers are whole and below 2**53 in float64, and quotients are taken
@@ -40,14 +40,14 @@ from . import batches, common, tokens
 
 BLOCK = 2048
 MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
-FRAME_IDS = 1 << 22
+FRAME_IDS = 6 << 20
 MAGIC, VERSION = b"RIDC", 2
 _HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
 
 _TOP, _LOW, _DIGIT = 2.0**48, 2.0**32, 2.0**16
 _SAFE = 1 - 2.0**-50  # brings a rounded quotient below the true one
 _HASH = 11  # bits of an order-2 context
-_AGAIN = 4  # order 0 is counted again when a block has grown by this part
+_AGAIN = 2  # order 0 is counted again when a block has grown by one part in so many
 
 
 def _packed(rows) -> np.ndarray:

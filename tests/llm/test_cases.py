@@ -10,7 +10,7 @@ from rastrel.llm import common, components, compression, decontam, histshard, id
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 NAMES = "score lang_pred _none _id _digest _text_hash h1 h2 near terms spans task place size law shard slot fp least digest y n label _lang _score frame part".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES)
-LONG = "the river runs under old stone bridges and " * 30_000
+LONG = "the river runs under old stone bridges and " * 3_000
 
 
 def rows():
@@ -67,7 +67,7 @@ def test_columns_are_kept(odd, spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(odd, items).collect()} == {(1, 1), (None, 1), (-3, 1), (5, 1)}
     one = simhash.keep_one(odd)
     assert one.columns == odd.columns and {r["text"] for r in one.collect()} <= {r[1] for r in rows()}
-    assert sum(r["length"] for r in packing.pack(odd, BYTES).collect()) > 180_000
+    assert sum(r["length"] for r in packing.pack(odd, BYTES).collect()) > 20_000
 
 
 def test_a_repeated_id_teaches_once(spark):

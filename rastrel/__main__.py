@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--smooth", action="store_true", help="measure against the smoothed original, for JPEG damage")
     commands.add_parser("gen").add_argument("folder")
     commands.add_parser("inspect").add_argument("image")
-    commands.add_parser("bench", parents=[settings])
+    commands.add_parser("bench", parents=[settings]).add_argument("--auto", action="store_true", help="search each image's settings")
     args = parser.parse_args(argv)
     if args.command == "gen":
         from .kernels import paint
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = session(args.cores)
     if args.command == "bench":
-        rows = report.suite(spark, chosen(args)).cache()
+        rows = report.suite(spark, None if args.auto else chosen(args)).cache()
         rows.orderBy("place").drop("place").show(50, False)
         report.summary(rows).show(1, False)
         return 0

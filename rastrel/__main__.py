@@ -78,7 +78,8 @@ def main(argv: list[str] | None = None) -> int:
         rows.orderBy("place").drop("place").show(50, False)
         report.summary(rows).show(1, False)
         return 0
-    images = pixels.read_images(spark, args.image)
+    known = pathlib.PurePath(args.image).suffix.lower() in (".png", ".jpg", ".jpeg", ".gif", ".bmp")
+    images = pixels.read_images(spark, args.image) if known else pixels.read_files(spark, args.image)
     one = lambda: trace.unpacked(*(lambda r: (r["width"], r["height"], bytes(r["data"])))(images.first()))
     if args.command == "score":
         original = trace.reference(one(), Config(), SMOOTH if args.smooth else None)

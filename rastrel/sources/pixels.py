@@ -1,7 +1,7 @@
 """Pixel tables: image_id, y, x and r, g, b, a as doubles in 0..1 (gamma sRGB, straight alpha), one row a pixel.
 
 Sources: the driver's tables (8 x 8 tiles of vectors, heat maps of events and lineitem), raw RGBA buffers, blank images,
-and files through Spark's image reader.
+and files, through Spark's image reader or decoded from their bytes.
 """
 
 from __future__ import annotations
@@ -68,6 +68,38 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInPandas(to_rgba, "image_id long, width int, height int, data binary")
 
 
+def decode(files: DataFrame, content: str = "content", broken: str = "error") -> DataFrame:
+    """image_id (a hash of path), width, height, data (RGBA) of files given as path and bytes, by content; see kernels.decode.
+
+    broken: "error" raises for what can't be read, "drop" leaves it out.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        from ..kernels import decode as kernel
+
+        for frame in frames:
+            out = []
+            for image_id, raw in zip(frame.image_id, frame.content):
+                try:
+                    image = kernel.image(bytes(raw or b""))
+                except ValueError:
+                    if broken == "error":
+                        raise
+                    continue
+                out.append((image_id, image.shape[1], image.shape[0], image.tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "data"])
+
+    named = files.select(F.xxhash64("path").alias("image_id"), F.col(content).alias("content"))
+    return named.mapInPandas(run, "image_id long, width int, height int, data binary")
+
+
+def read_files(spark: SparkSession, path: str, glob: str = "*", broken: str = "error") -> DataFrame:
+    """decode() of all files of a folder."""
+    return decode(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content"), broken=broken)
+
+
 def size(pixels: DataFrame) -> DataFrame:
     """image_id, width, height, n."""
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("n"))

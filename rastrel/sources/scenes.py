@@ -228,13 +228,14 @@ def render(spark: SparkSession, scene: Scene | Picture, image_id: int = 0) -> Da
     i = F.col("id")
     samples = spark.range(w * h * s * s).select((i % (w * s)).alias("sx"), F.floor(i / (w * s)).alias("sy"))
     x, y = (F.col("sx") + 0.5) / s, (F.col("sy") + 0.5) / s
-    top = [F.lit(c / 255) for c in scene.background] + [F.lit(1.0)] if scene.background else [F.lit(0.0)] * 4
+    top = [F.lit(float(c)) for c in scene.background] + [F.lit(1.0)] if scene.background else [F.lit(0.0)] * 4
     for item in scene.items:
         inside = item.contains(x, y)
-        top = [F.when(inside, v).otherwise(t) for v, t in zip([*(c / 255 for c in item.colour), 1.0], top)]
+        top = [F.when(inside, v).otherwise(t) for v, t in zip([*map(float, item.colour), 1.0], top)]
     painted = samples.select(F.floor(F.col("sy") / s).cast("int").alias("y"), F.floor(F.col("sx") / s).cast("int").alias("x"), *(t.alias(c) for t, c in zip(top, "rgba")))
     weight = F.avg("a")
-    rgb = [F.coalesce(F.sum(F.col(c) * F.col("a")) / F.when(F.sum("a") > 0, F.sum("a")), F.lit(0.0)).alias(c) for c in "rgb"]
+    # sums of whole numbers have no rounding, whatever their order
+    rgb = [F.coalesce(F.sum(F.col(c) * F.col("a")) / F.when(F.sum("a") > 0, F.sum("a")) / 255, F.lit(0.0)).alias(c) for c in "rgb"]
     means = painted.groupBy("y", "x").agg(*rgb, weight.alias("a"))
     return means.select(F.lit(image_id).cast("long").alias("image_id"), "y", "x", *"rgba")
 

@@ -40,3 +40,13 @@ def test_every_oracle_has_its_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["scene_slants", "scene_circle_aa", "scene_rings"])
+def test_pixels_equal_those_of_sql(spark, duck, name):
+    """Every value to its last digit: 0.65625 is 0.6563, so means of samples may not fall below it."""
+    from rastrel.plans import queries
+
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), duck.execute(queries.ORACLES[name]).df()
+    got, want = (x.sort_values(["y", "x"], ignore_index=True)[sorted(want.columns)] for x in (got, want))
+    assert got.equals(want)

@@ -78,15 +78,15 @@ class Scene:
 
 
     def make(self, first: int = 0, end: int | None = None) -> np.ndarray:
-        """The pixels of some rows, 0..1, as render() has them."""
+        """The pixels of some rows, 0..1, as render() has them: sums of whole numbers, so that means are exact up to a rounding."""
         s, end = self.supersample, self.height if end is None else end
         x, y = np.meshgrid((np.arange(self.width * s) + 0.5) / s, (np.arange(first * s, end * s) + 0.5) / s)
-        top = np.broadcast_to([*(c / 255 for c in self.background), 1.0] if self.background else np.zeros(4), (*x.shape, 4)).copy()
+        top = np.broadcast_to([*self.background, 1.0] if self.background else np.zeros(4), (*x.shape, 4)).copy()
         for item in self.items:
-            top[item.holds(x, y)] = [*(c / 255 for c in item.colour), 1.0]
+            top[item.holds(x, y)] = [*item.colour, 1.0]
         cells = top.reshape(end - first, s, self.width, s, 4)
         alpha = cells[..., 3:].sum((1, 3))
-        rgb = (cells[..., :3] * cells[..., 3:]).sum((1, 3)) / np.where(alpha > 0, alpha, 1)
+        rgb = (cells[..., :3] * cells[..., 3:]).sum((1, 3)) / np.where(alpha > 0, alpha, 1) / 255
         return np.dstack([rgb, alpha / (s * s)])
 
 

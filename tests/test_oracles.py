@@ -42,7 +42,7 @@ def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["scene_slants", "scene_circle_aa", "scene_rings"])
+@pytest.mark.parametrize("name", ["scene_slants", "scene_junctions", "scene_circle_aa", "scene_rings"])
 def test_pixels_equal_those_of_sql(spark, duck, name):
     """Every value to its last digit: 0.65625 is 0.6563, so means of samples may not fall below it."""
     from rastrel.plans import queries

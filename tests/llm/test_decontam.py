@@ -169,3 +169,14 @@ def test_rarity_beyond_the_table_is_exact(spark, monkeypatch):
         monkeypatch.setattr(decontam, "COMMON", room)
         monkeypatch.setattr(decontam, "ITEM_WORDS", words)
         assert sorted(map(tuple, decontam.leaks(docs, table).collect())) == want
+
+
+def test_clean_beyond_the_table_is_exact(spark, monkeypatch):
+    """The pipeline's stage drops the same documents, with all columns, whatever the table has room for."""
+    rows, items = shared_passages()
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string, Carried int"), spark.createDataFrame(items, ITEMS)
+    want = {r[0] for r in rows} - {d for d, _ in plain(rows, items)}
+    for room in (2_000_000, 150):
+        monkeypatch.setattr(decontam, "COMMON", room)
+        kept = decontam.clean(docs, table)
+        assert kept.columns == ["doc_id", "text", "Carried"] and {r["doc_id"] for r in kept.collect()} == want

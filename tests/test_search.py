@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rastrel.config import PRESETS, Config
-from rastrel.kernels import paint, regions
+from rastrel.kernels import contours, document, edges, paint, regions
 from rastrel.operators import raster
 from rastrel.plans import trace
 from rastrel.sources import scenes
@@ -105,3 +106,30 @@ def test_worker_handles_the_latest_request(spark, tmp_path):
             failing.drain()
         finally:
             failing.stop()
+
+
+def test_a_search_of_many_small_images_takes_many_tasks(spark):
+    """Images that come from an exchange by image_id are dealt out again; else their few bytes make one task."""
+    from rastrel.sources import pixels
+
+    rows = [(i, [float((i * j) % 7 < 3) - 0.5 for j in range(64)]) for i in range(12)]
+    tiles = pixels.tiles(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), True)
+    searched = trace.auto_select(trace.dense(tiles), max_seeds=1, refine_top=0)
+    got = searched.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["image_id"] for r in got} == set(range(12)) and len({r["task"] for r in got}) > 1
+
+
+def test_what_a_search_keeps_makes_no_difference():
+    """Each candidate by itself against one search's memory of planes, fits and documents; edges of all arcs at once against each arc alone."""
+    rng = np.random.default_rng(8)
+    image = np.dstack([np.kron(rng.integers(0, 256, (4, 4)), np.ones((2, 2))) / 255] * 3 + [np.ones((8, 8))])
+    for c in trace.search(image, max_seeds=4, refine_top=1, rounds=1):
+        metrics, points, size = trace.evaluate(image, Config.from_json(c["config"]))
+        assert (c["points"], c["bytes"]) == (points, size) and all(c[k] == v or v != v for k, v in metrics.items())
+    cfg = PRESETS["clipart"].with_(segment__despeckle_area=0)
+    seg = document.segment(image, cfg)
+    plane = contours.subdivide(seg.regions)
+    inner = [a for a in plane.arcs if not a.border]
+    pre, tint = image, seg.colours
+    together = edges._moved(inner, pre, tint, cfg.subpixel)
+    assert len(inner) > 5 and all(np.array_equal(edges._moved([a], pre, tint, cfg.subpixel)[0], p) for a, p in zip(inner, together))

@@ -35,29 +35,51 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class _Memory(dict):
-    """Two generations of chunk -> ids as bytes; the older goes when the younger is full."""
+def _listed(values: pa.Array) -> list:
+    """to_pylist() makes a scalar object of each value first; this doesn't."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
+class _Memory:
+    """Strings and their ids in a few arrays, without an object for each. All go when there are too many.
+
+    make: distinct strings -> how many ids each has, and all ids one after the other.
+    """
 
     def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        ids = self.old.get(key)
-        if ids is None:
-            ids = self.make(key)
-            if len(key) > LONGEST:
-                return ids
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = ids
-        return ids
+        self.make, self.most = make, most
+        self.forget()
 
+    def forget(self) -> None:
+        self.seen, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint16)
+        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each distinct string has, where they begin, and all ids; those that aren't known are made together."""
+        if len(self.seen) > self.most or self.seen.nbytes + self.flat.nbytes > MOST_BYTES:
+            self.forget()
+        at = pc.fill_null(pc.index_in(distinct, self.seen), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = distinct.take(pa.array(new))
+            sizes, flat = self.make(fresh)
+            at[new] = np.arange(len(new)) + len(self.seen)
+            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+            self.seen = pa.concat_arrays([self.seen, fresh])
+        return self.sizes[at], self.starts[at], self.flat
 
-def _listed(values: pa.Array) -> list:
-    """to_pylist() makes a scalar object of each value first; this doesn't."""
-    return values.to_numpy(zero_copy_only=False).tolist()
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each has, and all of them."""
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 2, np.frombuffer(b"".join(ids), "<u2")
 
 
 class Encoder:
@@ -78,67 +100,49 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that are looked for in normalised text aren't supported")
-        self.pieces = _Memory(self._piece, most)
-        self.pieces[""] = b""
-        self.most = most
-        self._forget()
+        self.pieces = _Memory(lambda pieces: _joined([self._piece(x) for x in _listed(pieces)]), most)
+        self.chunks = _Memory(self._chunks, most)
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         mapped = piece.encode().decode("latin-1").translate(self.table)
         return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _chunks(self, chunks: pa.Array) -> list[bytes]:
-        """The ids of each distinct chunk; in byte mode a space goes before each that doesn't begin with a line end."""
-        parts, get, out = pc.extract_regex(chunks, _SIMPLE), self.pieces.__getitem__, []
-        lead, letters, marks = (parts.field(i) for i in range(3))
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks; in byte mode a space goes before each that doesn't begin with a line end."""
+        parts = pc.extract_regex(chunks, _SIMPLE)
+        simple = pc.and_(parts.is_valid(), pc.less(pc.utf8_length(chunks), LONGEST)).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(simple)
+        lead, letters, marks = (parts.field(i).take(pa.array(own)) for i in range(3))
         if self.by_word:
-            letters = pc.utf8_lower(letters)
-        simple = pc.and_(parts.is_valid(), pc.less(pc.utf8_length(chunks), LONGEST))
-        for ok, n, a, b, chunk in zip(*map(_listed, (simple, lead, letters, marks, chunks))):
-            if self.by_word:
-                out.append((get(a) + get(b) if b else get(a)) if ok else self._whole(chunk))
-            elif not ok:
-                out.append(self._whole(chunk if chunk[:1] == "\n" else " " + chunk))
-            elif n:
-                out.append(get(n) + get(a) + get(b))
-            elif a:
-                out.append(get(" " + a) + get(b) if b else get(" " + a))
-            else:
-                out.append(get(" " + b))
-        return out
-
-    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many ids each distinct chunk has, where they begin, and all ids; chunks of the batches before are looked up together."""
-        if len(self.seen) > self.most or self.seen.nbytes + self.flat.nbytes > MOST_BYTES:
-            self._forget()
-        at = pc.fill_null(pc.index_in(chunks, self.seen), -1).to_numpy(zero_copy_only=False).copy()
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh = chunks.take(pa.array(new))
-            ids = self._chunks(fresh)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-            at[new] = np.arange(len(new)) + len(self.seen)
-            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u2")])
-            self.seen = pa.concat_arrays([self.seen, fresh])
-        return self.sizes[at], self.starts[at], self.flat
-
-    def _forget(self) -> None:
-        self.seen, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint16)
-        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            pieces = [pc.utf8_lower(letters), marks]
+        else:
+            no, none = pc.equal(lead, ""), pc.equal(letters, "")
+            spaced = lambda x: pc.binary_join_element_wise(pa.scalar(" ", x.type), x, pa.scalar("", x.type))
+            pieces = [lead, pc.if_else(no, pc.if_else(none, spaced(marks), spaced(letters)), letters), pc.if_else(pc.and_(no, none), pa.scalar("", marks.type), marks)]
+        held = pa.concat_arrays([x.cast(pa.large_string()) for x in pieces]).dictionary_encode()
+        n, begin, flat = self.pieces.find(held.dictionary)
+        index = held.indices.to_numpy(zero_copy_only=False).reshape(len(pieces), -1).T
+        sizes, starts = np.zeros((len(chunks), len(pieces)), np.int64), np.zeros((len(chunks), len(pieces)), np.int64)
+        sizes[own], starts[own] = n[index], begin[index]
+        rest = np.flatnonzero(~simple)
+        whole = [self._whole(c if self.by_word or c[:1] == "\n" else " " + c) for c in _listed(chunks.take(pa.array(rest)))]
+        more, ids = _joined(whole)
+        sizes[rest, 0], starts[rest, 0] = more, np.cumsum(more) - more + len(flat)
+        return sizes.sum(1), _gathered(sizes.ravel(), starts.ravel(), np.concatenate([flat, ids]))
 
     def _cut(self, texts: pa.Array) -> list[bytes]:
         lists = pc.split_pattern(texts, " ")
         words = lists.flatten().dictionary_encode()
-        sizes, starts, known = self._known(words.dictionary)
+        sizes, starts, known = self.chunks.find(words.dictionary)
         index = words.indices.to_numpy()
         each = sizes[index]
         ends = np.concatenate([[0], np.cumsum(each)])
-        flat = known[np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], each)].tobytes()
+        flat = _gathered(each, starts[index], known).tobytes()
         at = (2 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
         return [flat[i:j] for i, j in zip(at, at[1:])]
 

@@ -84,3 +84,16 @@ def test_ids_are_the_librarys(file):
     assert [tokens.as_ids(x).tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     few = tokens.Encoder(path, most=3)  # chunks are forgotten all the time
     assert few.batch(texts) == got and few.batch(texts) == got
+
+
+def test_pieces_are_made_together_and_once():
+    """A batch's new pieces are one call; the next batch's chunks of known pieces need none."""
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder, calls = tokens.Encoder(public_tokenizers.path(name)), []
+        make = encoder.pieces.make
+        encoder.pieces.make = lambda pieces, make=make: calls.append(len(pieces)) or make(pieces)
+        text = "start " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        for t in (text, text.replace(" ", ", "), text.replace(" ", "\nnew ")):
+            assert list(tokens.as_ids(encoder.batch([t])[0])) == plain.encode(t, add_special_tokens=False).ids
+        assert len(calls) <= 3 and calls[0] > 400 and (len(calls) == 1 or calls[1] <= 2)

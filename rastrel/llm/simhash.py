@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> Dat
 
 def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents with one row of each component: the smallest doc_id's, null ids last; repeated rows count once."""
-    found = common.table(_classified(docs, size, radius).select("doc_id", "text_hash", "least"), "found")
+    found = _classified(docs, size, radius).select("doc_id", "text_hash", "least")
     is_least = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
     here, there, none, digest = common.fresh(docs, "_id", "_digest", "_none", "_text_hash")
     rows = found.where(is_least).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))

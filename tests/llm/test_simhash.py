@@ -129,3 +129,14 @@ def test_components_of_a_path_and_a_star(spark):
     got = components(spark.createDataFrame(edges, "u long, v long"))
     assert got.agg(F.count("*"), F.max("v")).first() == (60 + 199, 1000)
     assert got.where("u <= 60 and v != 0").count() == 0
+
+
+def test_keep_one_writes_no_table_of_all_rows_but_the_fingerprints(spark, monkeypatch):
+    """Scratch files are few: what is read once is not written."""
+    from rastrel.llm import common
+
+    names, table = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name: names.append(name) or table(df, name))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y z w v")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3]
+    assert sorted(set(names) - {"edges", "large"}) == ["classes", "fingerprints", "kept", "named"]

@@ -343,7 +343,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
     cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     parts = common.text_partitions(docs.sparkSession)
     dealt = cut.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, FRAMES).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(run, FRAMES).write.options(compression="none", **common.PLAIN_FILES).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

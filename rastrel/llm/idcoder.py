@@ -312,18 +312,19 @@ FRAMES = "part int, seq long, first long, n_ids long, frame binary"
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: int = BLOCK, frame_ids: int = FRAME_IDS) -> None:
     """Tokenize all documents and write their ids' frames in ascending doc_id order: part by part, seq by seq.
 
-    first is the frame's first id within its part. One exchange by ranges of doc_id; a frame and a slice of texts are all
-    that a task holds.
+    first is the frame's first id within its part. One exchange by ranges of doc_id; a frame, a quarter of the next and a
+    slice of texts are all that a task holds. A rest of less than a quarter joins the frame before it: a frame of a few blocks
+    takes as many steps as a full one.
     """
 
     def run(given):
         part, seq, first = TaskContext.get().partitionId(), 0, 0
-        docs_, counts, held, size = [], [], [], 0
+        docs_, counts, held, size, cut = [], [], [], 0, None  # cut: documents and ids of the frame that is full
         end = np.array([end_id], "<u2").tobytes()
 
-        def frame():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            row = (part, seq, first, len(ids), encode_frame(docs_, counts, ids, block))
+        def frame(n):
+            ids = np.frombuffer(b"".join(held[:n]), "<u2")
+            row = (part, seq, first, len(ids), encode_frame(docs_[:n], counts[:n], ids, block))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in FRAMES.split(", ")])
 
@@ -334,11 +335,15 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
                 held.append(raw + end)
                 counts.append(len(raw) // 2 + 1)
                 size += counts[-1]
-                if size >= frame_ids:
-                    yield frame()
-                    docs_, counts, held, seq, first, size = [], [], [], seq + 1, first + size, 0
+                if cut is None and size >= frame_ids:
+                    cut = len(docs_), size
+                if cut and size >= cut[1] + frame_ids // 4:
+                    n, full = cut
+                    yield frame(n)
+                    docs_, counts, held, seq, first, size = docs_[n:], counts[n:], held[n:], seq + 1, first + full, size - full
+                    cut = (len(docs_), size) if size >= frame_ids else None
         if docs_:
-            yield frame()
+            yield frame(len(docs_))
 
     cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     parts = common.text_partitions(docs.sparkSession)

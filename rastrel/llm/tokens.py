@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ _ODD = r"^\s|\s$|\s\s|[^\S \n]|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200
 LONGEST = 64
 MOST = 250_000
 MOST_BYTES = 24 << 20
+SHORT = 23  # bytes of a string that three numbers hold with its length
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -46,34 +49,98 @@ def _gathered(sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of a word's first bytes
+
+
+def _keys(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of at most SHORT bytes, their bytes and length as three numbers; and which strings these are."""
+    _, offsets, data = values.buffers()
+    edges = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    first, size = edges[:-1], np.diff(edges)
+    own = np.flatnonzero(size <= SHORT)
+    first, size = first[own] - edges[0], size[own]
+    raw = (bytes(data[edges[0] : edges[-1]]) if data else b"") + bytes(32)
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    keys = np.stack([words[np.minimum(first + 8 * i, len(words) - 1)] & _KEPT[np.clip(size - 8 * i, 0, 8)] for i in range(3)], axis=1)
+    keys[:, 2] |= size.astype(np.uint64) << np.uint64(56)
+    return keys, own
+
+
 class _Memory:
     """Strings and their ids in a few arrays, without an object for each. All go when there are too many.
 
+    Short strings are found by a hash table that stays from call to call; its keys are the whole strings.
     make: distinct strings -> how many ids each has, and all ids one after the other.
     """
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.bits = make, most, max(10, (2 * most).bit_length())
         self.forget()
 
     def forget(self) -> None:
         self.seen, self.flat = pa.array([], pa.large_string()), np.zeros(0, np.uint16)
         self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.table = np.zeros((0, 3), np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.of_long, self.of_short = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the number of each of seen, of each key
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[:, 0] * _MIX[0] ^ keys[:, 1]) * _MIX[1] ^ keys[:, 2]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX[2]
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys held each is, or -1."""
+        at, slots, left = np.full(len(keys), -1, np.int64), self._slots(keys), np.arange(len(keys))
+        while len(left):
+            here = self.table[slots[left]]
+            left, here = left[here >= 0], here[here >= 0]
+            same = (self.keys[here] == keys[left]).all(1)
+            at[left[same]] = here[same]
+            left = left[~same]
+            slots[left] = slots[left] + 1 & len(self.table) - 1
+        return at
+
+    def _hold(self, keys: np.ndarray) -> None:
+        """Add keys that aren't held, each once."""
+        number, slots, left = np.arange(len(keys)) + len(self.keys), self._slots(keys), np.arange(len(keys))
+        self.keys = np.concatenate([self.keys, keys])
+        while 2 * len(self.keys) > len(self.table):  # one call may bring more than there should be
+            self.bits += 1
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            number, slots, left = np.arange(len(self.keys)), self._slots(self.keys), np.arange(len(self.keys))
+        while len(left):
+            free = left[self.table[slots[left]] < 0]
+            self.table[slots[free]] = number[free]
+            left = left[self.table[slots[left]] != number[left]]
+            slots[left] = slots[left] + 1 & len(self.table) - 1
 
     def find(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each distinct string has, where they begin, and all ids; those that aren't known are made together."""
-        if len(self.seen) > self.most or self.seen.nbytes + self.flat.nbytes > MOST_BYTES:
+        if len(self.sizes) > self.most or self.seen.nbytes + self.keys.nbytes + self.flat.nbytes > MOST_BYTES:
             self.forget()
-        at = pc.fill_null(pc.index_in(distinct, self.seen), -1).to_numpy(zero_copy_only=False).copy()
+        keys, short = _keys(distinct)
+        at, held = np.full(len(distinct), -1, np.int64), self._look(keys)
+        at[short[held >= 0]] = self.of_short[held[held >= 0]]
+        long = np.ones(len(distinct), bool)
+        long[short] = False
+        long = np.flatnonzero(long)
+        if len(long):
+            held = pc.fill_null(pc.index_in(distinct.take(pa.array(long)), self.seen), -1).to_numpy(zero_copy_only=False)
+            at[long[held >= 0]] = self.of_long[held[held >= 0]]
         new = np.flatnonzero(at < 0)
         if len(new):
-            fresh = distinct.take(pa.array(new))
-            sizes, flat = self.make(fresh)
-            at[new] = np.arange(len(new)) + len(self.seen)
+            sizes, flat = self.make(distinct.take(pa.array(new)))
+            at[new] = np.arange(len(new)) + len(self.sizes)
             self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, flat])
-            self.seen = pa.concat_arrays([self.seen, fresh])
+            fresh = np.zeros(len(distinct), bool)
+            fresh[new] = True
+            self._hold(keys[fresh[short]])
+            self.of_short = np.concatenate([self.of_short, at[short[fresh[short]]]])
+            long = long[fresh[long]]
+            self.seen = pa.concat_arrays([self.seen, distinct.take(pa.array(long, pa.int64()))])
+            self.of_long = np.concatenate([self.of_long, at[long]])
         return self.sizes[at], self.starts[at], self.flat
 
 
@@ -100,17 +167,18 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that are looked for in normalised text aren't supported")
-        self.pieces = _Memory(lambda pieces: _joined([self._piece(x) for x in _listed(pieces)]), most)
+        self.pieces = _Memory(self._pieces, 3 * most)  # these cost most to make
         self.chunks = _Memory(self._chunks, most)
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        mapped = piece.encode().decode("latin-1").translate(self.table)
-        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of distinct pieces; none holds the zero character that parts them while they are mapped."""
+        mapped = "\0".join(_listed(pieces)).encode().decode("latin-1").translate(self.table).split(chr(self.table[0]))
+        tokenize = self.model.tokenize
+        each = [[t.id for t in tokenize(x)] if x else [] for x in mapped]
+        return np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint16)
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct chunks; in byte mode a space goes before each that doesn't begin with a line end."""

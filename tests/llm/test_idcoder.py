@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -66,6 +67,21 @@ def test_round_trip_through_files(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_no_frame_of_a_few_ids(spark, tmp_path):
+    """A part's last ids, fewer than a quarter of a frame, are in the frame before; a document of several frames is whole in one."""
+    rows = [(i, "ab " * n) for i, n in enumerate([9] * 105 + [5000] + [9] * 3 + [3000, 1])]
+    idcoder.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, str(tmp_path / "ids"), block=64, frame_ids=1000)
+    frames = spark.read.parquet(str(tmp_path / "ids")).orderBy("part", "seq").collect()
+    assert min(f["n_ids"] for f in frames if f["seq"]) >= 250
+    by_part = {}
+    for f in frames:
+        assert f["first"] == by_part.get(f["part"], 0) and f["seq"] == sum(g["part"] == f["part"] and g["seq"] < f["seq"] for g in frames)
+        by_part[f["part"]] = f["first"] + f["n_ids"]
+    tok = Tokenizer.from_file(PATH)
+    got = idcoder.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows]
+
+
 def test_empty_table(spark, tmp_path):
     idcoder.write(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "ids"))
     assert idcoder.read(spark, str(tmp_path / "ids")).count() == 0
@@ -97,3 +113,29 @@ def test_pieces_are_made_together_and_once():
         for t in (text, text.replace(" ", ", "), text.replace(" ", "\nnew ")):
             assert list(tokens.as_ids(encoder.batch([t])[0])) == plain.encode(t, add_special_tokens=False).ids
         assert len(calls) <= 3 and calls[0] > 400 and (len(calls) == 1 or calls[1] <= 2)
+
+
+def test_memory_finds_each_string_again():
+    """Strings of all lengths about the longest that the table holds, alike but for one byte or a zero at the end; each is made once, until there are too many."""
+    rng = random.Random(5)
+    words = {"", "a", "a\0", "é" * 11, "é" * 12, *("x" * n for n in range(40)), *("x" * n + "y" for n in range(40))}
+    words |= {"".join(rng.choice("ab\0é") for _ in range(rng.randint(1, 30))) for _ in range(5000)}
+    words, calls = sorted(words), []
+
+    def make(values):
+        calls.extend(values.to_pylist())
+        own = [np.array([*x.encode(), 7], np.uint16) for x in values.to_pylist()]
+        return np.array([len(x) for x in own]), np.concatenate(own)
+
+    def check(memory, some):
+        sizes, starts, flat = memory.find(pa.array(["cut off", *some], pa.large_string()).slice(1))
+        assert [flat[s : s + n].tolist() for s, n in zip(starts, sizes)] == [[*x.encode(), 7] for x in some]
+
+    memory = tokens._Memory(make, 10_000)
+    for _ in range(6):
+        check(memory, rng.sample(words, 3000))
+    check(memory, words)
+    assert sorted(calls) == words
+    few = tokens._Memory(make, 100)
+    for _ in range(6):
+        check(few, rng.sample(words, 3000))

@@ -41,6 +41,7 @@ from . import batches, common, tokens
 BLOCK = 2048
 MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
 FRAME_IDS = 6 << 20
+LANES = 1600  # blocks that go in step; with more, their tables don't fit the processor's cache
 MAGIC, VERSION = b"RIDC", 2
 _HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
 
@@ -55,85 +56,133 @@ def _packed(rows) -> np.ndarray:
     return np.array([sum(int(x) << 16 * i for i, x in enumerate(r)) for r in rows], np.uint64)
 
 
-# cumulative frequencies of the gate: order 2, order 1, order 0, new
+# cumulative frequencies of the gate: order 2, order 1, order 0, new; each below 2**15
 _START = _packed([(8, 16, 64, 112)])[0]
 _LEAST = _packed([(1, 2, 3, 4)])[0]
-_AFTER = _packed([[24 * (i >= k) for i in range(4)] for k in range(4)])
+_AFTER = _packed([(24, 24, 24, 24)])[0]  # moved up by as many places as the kind that came
 _FULL, _HALF, _OFTEN = np.uint64(1500 << 48), np.uint64(0x7FFF7FFF7FFF7FFF), 64  # every so many steps, what is above is halved
-#: What is added to (slot, confidence): a confidence of 2 or 3 falls by one on a miss, a hit raises it up to 3.
-_MOVE = np.array([0, 0, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
+_EACH, _GUARD, _FIRST = _packed([(1, 1, 1, 1)])[0], _packed([(1 << 15,) * 4])[0], _packed([(1 << 15,) * 3])[0]
+_PLACE, _TOTAL, _MASK = np.uint64(16), np.uint64(48), np.uint64(0xFFFF)
+_ROWS = 24  # steps whose intervals are worked out at once: few enough for the processor's cache
+
+
+def _turned(rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """out becomes the transpose of rows, some rows at a time: their columns share the lines of the processor's cache."""
+    for i in range(0, len(rows), 32):
+        out[:, i : i + 32] = rows[i : i + 32].T
+    return out
 
 
 class _Orders:
-    """Orders 1 and 2 (the rows of `at`) and the gate, of all lanes, fresh."""
+    """Orders 2 and 1 (the rows of `at`) and the gate, of all lanes, fresh.
+
+    Tables of lanes hold one slot's or context's entries of all lanes side by side. A lane's own entries would lie whole pages apart
+    from the next lane's, and those for the same slots, mostly the first few, drive each other out of the cache.
+    """
 
     def __init__(self, lanes: int, block: int):
-        lane = np.arange(lanes)
-        self.known = np.zeros(lanes * block + (lanes << _HASH), np.uint16)  # slot * 4 + confidence
-        self.base = np.stack([lane * block, lanes * block + (lane << _HASH)])
-        self.at = np.empty((2, lanes), np.int64)
-        self.gate, self.by_gate = np.full(lanes * 32, _START), lane * 32
-        self.last = self.before = np.zeros(lanes, np.int64)
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.known = np.zeros((block + (1 << _HASH)) * lanes, np.uint16)  # slot * 4 + confidence
+        self.contexts = self.lane + block * lanes
+        self.at, self.slots = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.uint16)
+        self.held, self.cell, self.bounds = np.empty((2, lanes), np.uint16), np.empty(lanes, np.int64), np.empty(lanes, np.uint64)
+        self.gate, self.by_gate = np.full(lanes * 32, _START), self.lane * 32
+        self.before = np.zeros(lanes, np.uint16)
         self.step = 0
 
-    def guess(self) -> np.ndarray:
-        """Predict the next slots; returns the gate's cumulative frequencies, packed."""
-        at = self.at
-        np.add(self.base[0], self.last, out=at[0])
-        np.bitwise_and(self.last * 0x9E35 + self.before * 0x1F7B >> 2, (1 << _HASH) - 1, out=at[1])
-        at[1] += self.base[1]
-        self.held = self.known.take(at)
-        self.slots, self.sure = self.held >> 2, self.held & 3
-        self.cell = self.by_gate + (self.sure[1] * 8 + self.sure[0] * 2 + (self.slots[0] == self.slots[1]))
-        self.bounds = self.gate.take(self.cell)
+    def guess(self, last: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Predict the next slots after the last ones, whose entries are at cell; returns the gate's cumulative frequencies, packed."""
+        mixed = last * np.uint16(0x9E35)
+        mixed += self.before * np.uint16(0x1F7B)
+        mixed >>= 2
+        mixed &= (1 << _HASH) - 1
+        self.before = last
+        np.multiply(mixed, self.lanes, out=self.at[0], dtype=np.int64)
+        self.at[0] += self.contexts
+        self.at[1] = cell
+        self.known.take(self.at, out=self.held, mode="clip")
+        np.right_shift(self.held, 2, out=self.slots)
+        self.sure = self.held & 3
+        case = self.sure[0] << 2
+        case += self.sure[1]
+        case <<= 1
+        case += self.slots[0] == self.slots[1]
+        np.add(self.by_gate, case, out=self.cell)
+        self.gate.take(self.cell, out=self.bounds, mode="clip")
         return self.bounds + _LEAST
 
-    def learn(self, kind: np.ndarray, slot: np.ndarray, short: np.ndarray) -> None:
-        """kind: which of the gate's four it was; slot, also as uint16: what came."""
-        self.gate[self.cell] = self.bounds + _AFTER.take(kind)
+    def missed(self, slot: np.ndarray) -> np.ndarray:
+        """1 where an order predicted another slot, else 0."""
+        return np.minimum(self.slots ^ slot, 1)
+
+    def learn(self, place: np.ndarray, slot: np.ndarray, missed: np.ndarray) -> None:
+        """place: 16 times which of the gate's four it was; slot: what came. A confidence of 2 or 3 falls by one on a miss, a hit raises it up to 3.
+
+        Here and below no choice is made by np.where(): its loop branches, and these branches can't be foreseen.
+        """
+        self.gate[self.cell] = self.bounds + (_AFTER << place)
         self.step += 1
         if self.step % _OFTEN == 0:
             full = np.flatnonzero(self.gate > _FULL)
             self.gate[full] = self.gate[full] >> np.uint64(1) & _HALF
-        case = (self.slots == short).view(np.uint8) * 4 + self.sure
-        self.known[self.at] = np.where(case > 1, self.held + _MOVE.take(case), short * np.uint16(4) + np.uint16(1))
-        self.before, self.last = self.last, slot
+        fresh = slot << 2
+        fresh |= 1
+        held = self.held
+        held += np.minimum(3 - self.sure, missed ^ 1)
+        held -= missed
+        self.sure >>= 1
+        self.sure ^= 1
+        self.sure &= missed
+        held ^= (held ^ fresh) & -self.sure  # fresh where a low confidence missed
+        self.known[self.at] = held
 
 
 class _Counts:
     """Order 0 of all lanes: each slot's count up to some place (upper half) and the sum below it, and (decoding) the slot of each unit."""
 
     def __init__(self, lanes: int, block: int):
-        self.lane = np.arange(lanes)
-        self.counts, self.both = np.zeros((lanes, block), np.uint16), np.zeros((lanes, block), np.uint32)
-        self.by_slot, self.flat = self.lane * block, self.both.ravel()
-        self.slot, self.by_unit = np.zeros(1, np.uint16), self.lane
-        self.used, self.units, self.next = np.zeros(lanes, np.int64), 0, 4
+        self.lanes, self.lane = lanes, np.arange(lanes)
+        self.counts, self.both = np.zeros((block, lanes), np.uint16), np.zeros((block, lanes), np.uint32)
+        self.flat = self.both.ravel()
+        self.slot, self.by_unit = np.zeros(1, np.uint16), np.zeros(lanes, np.int64)
+        self.used, self.units, self.next = np.zeros(lanes, np.uint16), 0, 4
         self.since = np.zeros(lanes, np.int64)  # slots less units
 
     def again(self, recent: np.ndarray, used: np.ndarray, decoding: bool) -> None:
         """recent: the slots since the last time, a row each step; used: how many slots there are."""
-        np.add.at(self.counts.ravel(), (recent + self.by_slot).ravel(), np.uint16(1))
+        for i in range(0, len(recent), _ROWS):
+            np.add.at(self.counts.ravel(), (recent[i : i + _ROWS] * np.int64(self.lanes) + self.lane).ravel(), np.uint16(1))
         most, self.units, self.used = int(used.max()), self.units + len(recent), used
-        counts = self.counts[:, :most]
-        np.cumsum(counts[:, :-1], axis=1, out=self.both[:, 1:most], dtype=np.uint32)
-        self.both[:, 0] = 0
-        self.both[:, :most] |= counts.astype(np.uint32) << 16
+        counts = self.counts[:most]
+        below = self.both[:most]
+        np.cumsum(counts[:-1], axis=0, out=below[1:], dtype=np.uint32)
+        below[0] = 0
+        below |= counts.astype(np.uint32) << 16
         if decoding:
-            slots = np.broadcast_to(np.arange(most, dtype=np.uint16), counts.shape)
-            self.slot, self.by_unit = np.repeat(slots.ravel(), counts.ravel()), self.lane * self.units
-        self.since, self.next = used - self.units, self.units + max(4, self.units // _AGAIN)
+            own = _turned(counts, np.empty(counts.shape[::-1], np.uint16))
+            slots = np.broadcast_to(np.arange(most, dtype=np.uint16), own.shape)
+            self.slot, self.by_unit = np.repeat(slots.ravel(), own.ravel()), self.lane * self.units
+        self.since, self.next = used.astype(np.int64) - self.units, self.units + max(4, self.units // _AGAIN)
 
 
 def _numbered(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slot of each id and whether it is new to its block, a row each step."""
-    first, back = np.zeros(1 << 16, np.int64), np.arange(table.shape[1])
-    slots, new = np.empty(table.shape, np.uint16), np.empty(table.shape, bool)
-    for i, ids in enumerate(table):
-        first[ids[::-1]] = back[::-1]
-        at = first.take(ids)
-        slots[i] = (np.cumsum(np.equal(at, back, out=new[i])) - 1).take(at)
-    return np.ascontiguousarray(slots.T), np.ascontiguousarray(new.T)
+    lanes, steps = table.shape
+    first, back = np.zeros(1 << 16, np.uint16), np.arange(steps, dtype=np.uint16)
+    slots, new = np.empty((steps, lanes), np.uint16), np.empty((steps, lanes), bool)
+    some, fresh = np.empty((32, steps), np.uint16), np.empty((32, steps), bool)
+    for a in range(0, lanes, 32):
+        rows = table[a : a + 32].astype(np.int64)
+        for i, ids in enumerate(rows):
+            first[ids[::-1]] = back[::-1]
+            at = first.take(ids)
+            np.equal(at, back, out=fresh[i])
+            number = np.cumsum(fresh[i], dtype=np.uint16)
+            number -= 1
+            some[i] = number.take(at)
+        slots[:, a : a + 32] = some[: len(rows)].T
+        new[:, a : a + 32] = fresh[: len(rows)].T
+    return slots, new
 
 
 def _checked(block: int) -> None:
@@ -141,37 +190,59 @@ def _checked(block: int) -> None:
         raise ValueError(f"a block has 1 to {MOST_BLOCK} ids")
 
 
+def _at_once(blocks: int) -> int:
+    """How many blocks go in step: shares of equal size, of LANES at most."""
+    return -(-blocks // max(1, -(-blocks // LANES)))
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = 0xFFFF) -> list[bytes]:
     """The payload of each block of `block` ids; the last may be shorter. largest: no id is above it."""
     _checked(block)
+    at_once = _at_once(-(-len(ids) // block)) * block
+    return [p for i in range(0, len(ids), at_once) for p in _encoded(ids[i : i + at_once], block, largest)]
+
+
+def _encoded(ids: np.ndarray, block: int, largest: int) -> list[bytes]:
     lanes, steps = -(-len(ids) // block), min(block, len(ids))
     table = np.zeros((lanes, steps), np.uint16)
     table.ravel()[: len(ids)] = ids
     slots, new = _numbered(table)
-    table = np.ascontiguousarray(table.T)
+    table = _turned(table, np.empty((steps, lanes), np.uint16))
     orders, counts = _Orders(lanes, block), _Counts(lanes, block)
-    low, span, lane, used = np.zeros(lanes), np.full(lanes, _TOP), np.arange(lanes, dtype=np.uint32), np.zeros(lanes, np.int64)
-    out, owner, a = [], [], 0
-    while a < steps:  # to the next place where order 0 is counted: what doesn't depend on the step before, for all at once
-        z = min(steps, counts.next)
-        bounds, kind = np.empty((z - a, lanes), np.uint64), np.empty((z - a, lanes), np.uint8)
+    low, span, lane, used = np.zeros(lanes), np.full(lanes, _TOP), np.arange(lanes, dtype=np.uint32), np.zeros(lanes, np.int32)
+    out, owner, a, done = [], [], 0, 0
+    last, cell = np.zeros(lanes, np.uint16), orders.lane
+    while a < steps:  # to the next place where order 0 is counted, or less: what doesn't depend on the step before, for all at once
+        z = min(steps, counts.next, a + _ROWS)
+        slot, novel = slots[a:z], new[a:z]
+        cells = slot * np.int64(lanes)
+        cells += orders.lane
+        bounds, place = np.empty((2, z - a, lanes), np.uint64)
+        kind = novel * np.uint16(3)
         for i in range(z - a):
-            short = slots[a + i]
-            bounds[i] = orders.guess()
-            hit = orders.slots == short
-            kind[i] = np.where(hit[1], 0, 2 - hit[0])
-            kind[i][new[a + i]] = 3
-            orders.learn(kind[i], short.astype(np.int64), short)
-        slot, edges = slots[a:z], bounds.view(np.uint16)
-        at = np.arange(slot.size).reshape(slot.shape) * 4 + kind
-        under = np.where(kind > 0, edges.ravel().take(at - 1, mode="clip"), 0).astype(np.float64)
-        width, total = edges.ravel().take(at) - under, edges[:, 3::4].astype(np.float64)
-        by_count, novel = kind == 2, kind == 3
-        old, both, came = by_count & (slot < counts.used), counts.flat.take(counts.by_slot + slot), np.cumsum(novel, axis=0)
-        size = np.where(old, both >> 16, 1).astype(np.float64)
-        begin = np.where(old, both & 0xFFFF, np.where(by_count, slot - counts.since, np.where(novel, table[a:z], 0))).astype(np.float64)
-        whole = np.where(by_count, used + came - novel - counts.since, np.where(novel, largest + 1, 1)).astype(np.float64)
-        used = used + came[-1]
+            bounds[i] = orders.guess(last, cell)
+            last, cell = slot[i], cells[i]
+            missed = orders.missed(last)
+            np.maximum(kind[i], missed[0] * (missed[1] + 1), out=kind[i])
+            np.multiply(kind[i], 16, out=place[i], dtype=np.uint64)
+            orders.learn(place[i], last, missed)
+        below = (bounds << _PLACE >> place & _MASK).view(np.int64)
+        width = ((bounds >> place & _MASK).view(np.int64) - below).astype(np.float64)
+        under, total = below.astype(np.float64), (bounds >> _TOTAL).view(np.int64).astype(np.float64)
+        by_count, came = kind == 2, np.cumsum(novel, axis=0, dtype=np.int32)
+        came += used
+        since = counts.since.astype(np.int32)
+        old, both = by_count & (slot < counts.used), counts.flat.take(cells, mode="clip")
+        both *= old
+        size = np.maximum(both >> 16, 1).astype(np.float64)
+        begin = (slot - since) * (by_count ^ old)
+        begin += table[a:z] * novel
+        begin += (both & 0xFFFF).view(np.int32)
+        whole = (came - since - 1) * by_count
+        whole += novel * np.int32(largest)
+        whole += 1
+        begin, whole = begin.astype(np.float64), whole.astype(np.float64)
+        used = came[-1]
         for i in range(z - a):
             step = np.floor(span / total[i] * _SAFE)
             low += step * under[i]
@@ -189,8 +260,9 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = 0xFFFF) ->
                 part = span.take(some) * _DIGIT
                 span[some] = part
                 some = some[part < _LOW]
-        if z < steps:
-            counts.again(slots[a:z], used, False)
+        if z < steps and z == counts.next:
+            counts.again(slots[done:z], used.astype(np.uint16), False)
+            done = z
         a = z
     for place in (_LOW, _DIGIT, 1.0):
         part = np.floor(low / place)
@@ -209,43 +281,61 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = 0xFFFF) ->
 def decode_blocks(payloads: list[bytes], sizes: list[int], block: int = BLOCK, largest: int = 0xFFFF) -> np.ndarray:
     """The ids of all blocks, in order."""
     _checked(block)
+    n = _at_once(len(payloads))
+    return np.concatenate([x for i in range(0, len(payloads), n) for x in _decoded(payloads[i : i + n], sizes[i : i + n], block, largest)])
+
+
+def _decoded(payloads: list[bytes], sizes: list[int], block: int, largest: int) -> list[np.ndarray]:
     lanes, steps = len(payloads), max(sizes)
-    digits = np.zeros((lanes, max(map(len, payloads)) // 2 + 4), np.uint16)
+    rows = np.zeros((lanes, max(map(len, payloads)) // 2 + 4), np.uint16)
     for i, p in enumerate(payloads):
-        digits[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-    digits = np.ascontiguousarray(digits.T).ravel()
+        rows[i, : len(p) // 2] = np.frombuffer(p, ">u2")
+    digits = _turned(rows, np.empty(rows.shape[::-1], np.uint16)).ravel()
     orders, counts, lane = _Orders(lanes, block), _Counts(lanes, block), np.arange(lanes)
     span, code, at = np.full(lanes, _TOP), np.zeros(lanes), lane
     for _ in range(3):
         code, at = code * _DIGIT + digits.take(at), at + lanes
-    slots, ids, used = np.empty((steps, lanes), np.uint16), np.zeros(lanes * block, np.uint16), np.zeros(lanes, np.int64)
-    edges, whole, choice = np.zeros((5, lanes)), np.ones((4, lanes)), np.empty((4, lanes), np.int64)
-    whole[3], done = largest + 1, 0
+    slots, ids = np.empty((steps, lanes), np.uint16), np.zeros((block, lanes), np.uint16)
+    whole, choice, own, both = np.ones((4, lanes)), np.zeros((4, lanes), np.uint16), np.empty(lanes, np.uint16), np.empty(lanes, np.uint32)
+    orders.slots, used, known = choice[:2], choice[3], whole[2]  # known: slots that came since order 0 was counted and all units of before
+    known[:], whole[3], done, last, cell = 0, largest + 1, 0, np.zeros(lanes, np.uint16), lane
     for t in range(steps):
         if t == counts.next:
             counts.again(slots[done:t], used.copy(), True)
-            done = t
-        edges[1:] = orders.guess().view(np.uint16).reshape(-1, 4).T
-        step = np.floor(span / edges[4] * _SAFE)
-        below = (edges[1:4] <= code / step).view(np.uint8)
-        kind = (below[0] + below[1] + below[2]).astype(np.int64)
-        i = kind * lanes + lane
-        under = edges.take(i)
+            known[:], done = t, t
+        bounds = orders.guess(last, cell)
+        step = np.floor(span / (bounds >> _TOTAL).view(np.int64) * _SAFE)
+        said = (code / step).astype(np.int64).view(np.uint64) * _EACH
+        said |= _GUARD
+        said -= bounds
+        said &= _FIRST  # a bit for each of the first three bounds that isn't above
+        kind = np.bitwise_count(said)
+        i = kind * np.int64(lanes)
+        i += lane
+        place = kind * _PLACE
+        under = (bounds << _PLACE >> place & _MASK).view(np.int64)
         code -= step * under
-        span = step * (edges.take(i + lanes) - under)
-        np.subtract(used, counts.since, out=whole[2])
+        bounds >>= place
+        bounds &= _MASK
+        span = step * (bounds.view(np.int64) - under)
         total = whole.take(i)
         step = np.floor(span / total * _SAFE)
         unit = np.minimum(code / step, total - 1).astype(np.int64)
-        old = (kind == 2) & (unit < counts.units)
-        choice[1], choice[0] = orders.slots
-        choice[2] = np.where(old, counts.slot.take(counts.by_unit + unit, mode="clip"), unit + counts.since)
-        choice[3] = used
-        slot = choice.take(i)
-        cell = counts.by_slot + slot
-        both = counts.flat.take(cell, mode="clip")
-        code -= step * np.where(old, both & 0xFFFF, unit)
-        span = step * np.where(old, both >> 16, 1)
+        old = kind == 2
+        old &= unit < counts.units
+        among = unit * old
+        unit -= among
+        among += counts.by_unit
+        counts.slot.take(among, out=own, mode="clip")
+        np.add(unit, counts.since, out=choice[2], casting="unsafe")
+        choice[2] ^= (choice[2] ^ own) & -old.astype(np.uint16)
+        last = choice.take(i, out=slots[t], mode="clip")
+        cell = last * np.int64(lanes)
+        cell += lane
+        counts.flat.take(cell, out=both, mode="clip")
+        both *= old
+        code -= step * ((both & 0xFFFF) + unit)
+        span = step * np.maximum(both >> 16, 1)
         some = np.flatnonzero(span < _LOW)
         while len(some):
             here = at.take(some)
@@ -254,19 +344,23 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], block: int = BLOCK, l
             part = span.take(some) * _DIGIT
             span[some] = part
             some = some[part < _LOW]
-        novel = np.flatnonzero(kind == 3)
-        ids[cell.take(novel)] = unit.take(novel)
-        used[novel] += 1
-        slots[t] = slot
-        orders.learn(kind, slot, slots[t])
-    return np.concatenate([ids[i * block :].take(own[:n]) for i, (own, n) in enumerate(zip(np.ascontiguousarray(slots.T), sizes))])
+        novel = kind == 3
+        used += novel
+        known += novel
+        novel = np.flatnonzero(novel)
+        ids.ravel()[cell.take(novel)] = unit.take(novel)
+        orders.learn(place, last, orders.missed(last))
+    most = int(used.max())
+    ids, slots = _turned(ids[:most], np.empty((lanes, most), np.uint16)), _turned(slots, np.empty((lanes, steps), np.uint16))
+    return [names.take(own[:n]) for names, own, n in zip(ids, slots, sizes)]
 
 
 def encode_frame(doc_ids: list, counts: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One frame of whole documents."""
     largest = int(ids.max(initial=0))
     payloads = encode_blocks(ids, block, largest) if len(ids) else []
-    parts = [ids[i : i + block].astype("<u4").tobytes() for i in range(0, len(ids), block)]
+    raw = memoryview(ids.astype("<u4").tobytes())
+    parts = [raw[i : i + 4 * block] for i in range(0, len(raw), 4 * block)]
     heads = np.array([(len(x) // 4, len(p), zlib.crc32(x)) for x, p in zip(parts, payloads)], "<u4")
     body = b"".join(
         [
@@ -296,9 +390,9 @@ def decode_frame(frame: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     ends = 13 * docs + 12 * blocks + np.cumsum(heads[:, 1])
     payloads = [bytes(body[e - n : e]) for e, n in zip(ends.tolist(), heads[:, 1].tolist())]
     ids = decode_blocks(payloads, heads[:, 0].tolist(), block, largest) if blocks else np.zeros(0, np.uint16)
-    at = 0
+    at, raw = 0, memoryview(ids.astype("<u4").tobytes())
     for n, _, crc in heads.tolist():
-        if zlib.crc32(ids[at : at + n].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(raw[4 * at : 4 * (at + n)]) != crc:
             raise ValueError(f"the checksum of the block at id {at} is wrong")
         at += n
     if at != total or counts.sum() != total:
@@ -351,8 +445,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
     dealt.mapInArrow(run, FRAMES).write.options(compression="none", **common.PLAIN_FILES).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian uint32) from the frames."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian uint32) from the frames.
+
+    Every block is decoded and checked with or without ids; without, they aren't sent from Python to Spark.
+    """
     frames = spark.read.schema(FRAMES).parquet(path)
     counted = frames.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = common.offsets(counted, [], "part", "n", "before")
@@ -363,10 +460,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for first, frame in zip(batch.column("first").to_pylist(), batch.column("frame")):
                 doc_ids, counts, ids = decode_frame(frame.as_buffer().to_pybytes())
                 ends = np.cumsum(counts)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 each = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
                 crcs = pa.array(map(zlib.crc32, each), pa.int64())
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - counts), pa.array(counts), crcs, pa.array(each, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - counts), pa.array(counts), crcs]
+                if with_ids:
+                    columns.append(pa.array(each, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    return placed.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "ids")
     idcoder.write(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), path)
-    return idcoder.read(spark, path).drop("ids")
+    return idcoder.read(spark, path, with_ids=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -28,6 +29,20 @@ def test_blocks_are_independent():
         assert (idcoder.decode_blocks([p], [128], 128) == ids[128 * i : 128 * i + 128]).all()
 
 
+def test_blocks_go_in_shares(monkeypatch):
+    """Many blocks are coded some at a time, to the same bytes, in working memory that doesn't grow with their number."""
+    ids = np.random.default_rng(2).zipf(1.3, 900 * 128 + 5) % 49408
+    sizes = [128] * 900 + [5]
+    payloads = idcoder.encode_blocks(ids, 128, 49407)
+    monkeypatch.setattr(idcoder, "LANES", 100)
+    tracemalloc.start()
+    assert idcoder.encode_blocks(ids, 128, 49407) == payloads
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(ids)
+    assert (idcoder.decode_blocks(payloads, sizes, 128, 49407) == ids).all()
+
+
 def test_what_is_predictable_is_short():
     rng = np.random.default_rng(1)
     phrase = rng.integers(0, 49408, 20)
@@ -82,6 +97,16 @@ def test_no_frame_of_a_few_ids(spark, tmp_path):
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows]
 
 
+def test_ids_stay_behind(spark, tmp_path):
+    """Without the column of ids all else is as with it."""
+    rows = [(i, "some words " * (i % 7)) for i in range(50)] + [(None, None)]
+    idcoder.write(spark.createDataFrame(rows, "doc_id long, text string"), PATH, str(tmp_path / "ids"), block=64, frame_ids=100)
+    whole, bare = idcoder.read(spark, str(tmp_path / "ids")), idcoder.read(spark, str(tmp_path / "ids"), with_ids=False)
+    assert bare.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] == whole.columns[:4] and whole.columns[4:] == ["ids"]
+    assert bare.orderBy("start").collect() == whole.drop("ids").orderBy("start").collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_tokens"] for r in whole.collect())
+
+
 def test_empty_table(spark, tmp_path):
     idcoder.write(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "ids"))
     assert idcoder.read(spark, str(tmp_path / "ids")).count() == 0

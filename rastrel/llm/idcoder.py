@@ -42,6 +42,7 @@ BLOCK = 2048
 MOST_BLOCK = 1 << 14  # a slot and its confidence share 16 bits
 FRAME_IDS = 6 << 20
 LANES = 1600  # blocks that go in step; with more, their tables don't fit the processor's cache
+REMEMBERED = 600_000, 48 << 20  # chunks and bytes that the tokenizer remembers; the coder's own arrays leave room for them
 MAGIC, VERSION = b"RIDC", 2
 _HEAD, _CHECK = struct.Struct("<4sHHIIQI"), struct.Struct("<I")
 
@@ -435,7 +436,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, block: i
 
         for batch in batches.slices(given, "text"):
             texts = [t or "" for t in batches.strings(batch.column("text"))]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), tokens.encoder(vocabulary).batch(texts)):
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), tokens.encoder(vocabulary, *REMEMBERED).batch(texts)):
                 docs_.append(doc_id)
                 held.append(raw + end)
                 counts.append(len(raw) // 2 + 1)

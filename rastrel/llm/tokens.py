@@ -73,8 +73,8 @@ class _Memory:
     make: distinct strings -> how many ids each has, and all ids one after the other.
     """
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.bits = make, most, max(10, (2 * most).bit_length())
+    def __init__(self, make, most: int, most_bytes: int = MOST_BYTES):
+        self.make, self.most, self.most_bytes, self.bits = make, most, most_bytes, max(10, (2 * most).bit_length())
         self.forget()
 
     def forget(self) -> None:
@@ -116,7 +116,7 @@ class _Memory:
 
     def find(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each distinct string has, where they begin, and all ids; those that aren't known are made together."""
-        if len(self.sizes) > self.most or self.seen.nbytes + self.keys.nbytes + self.flat.nbytes > MOST_BYTES:
+        if len(self.sizes) > self.most or self.seen.nbytes + self.keys.nbytes + self.flat.nbytes > self.most_bytes:
             self.forget()
         keys, short = _keys(distinct)
         at, held = np.full(len(distinct), -1, np.int64), self._look(keys)
@@ -152,7 +152,7 @@ def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """batch(texts) -> for each, bytes of little-endian uint16 ids, as Tokenizer.encode(text, add_special_tokens=False) gives them."""
 
-    def __init__(self, path: str, most: int = MOST):
+    def __init__(self, path: str, most: int = MOST, most_bytes: int = MOST_BYTES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -167,8 +167,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that are looked for in normalised text aren't supported")
-        self.pieces = _Memory(self._pieces, 3 * most)  # these cost most to make
-        self.chunks = _Memory(self._chunks, most)
+        self.pieces = _Memory(self._pieces, 3 * most, most_bytes)  # these cost most to make
+        self.chunks = _Memory(self._chunks, most, most_bytes)
 
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -245,14 +245,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This Python worker's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> Encoder:
+    """This Python worker's encoder of a vocabulary file, with memories of this size."""
+    key = path, most, most_bytes
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def as_ids(raw: bytes) -> np.ndarray:

@@ -140,6 +140,20 @@ def test_pieces_are_made_together_and_once():
         assert len(calls) <= 3 and calls[0] > 400 and (len(calls) == 1 or calls[1] <= 2)
 
 
+def test_memories_have_the_size_asked_for():
+    """A larger memory makes words of some batches ago once, a smaller one again; the ids are the same."""
+    rng, made = random.Random(3), []
+    batches = [" ".join("".join(rng.choice("abcdef") for _ in range(9)) for _ in range(400)) for _ in range(4)]
+    for size in ((300, 1 << 20), (5000, 1 << 20), (5000, 1 << 10)):
+        encoder = tokens.encoder(PATH, *size)
+        assert encoder is tokens.encoder(PATH, *size) is not tokens.encoder(PATH)
+        calls, make = [], encoder.chunks.make
+        encoder.chunks.make = lambda x, calls=calls, make=make: calls.append(len(x)) or make(x)
+        made.append((sum(map(len, [encoder.batch([t])[0] for t in batches * 2])), sum(calls)))
+    assert len({n for n, _ in made}) == 1
+    assert made[1][1] <= 1600 < 3000 < min(made[0][1], made[2][1])
+
+
 def test_memory_finds_each_string_again():
     """Strings of all lengths about the longest that the table holds, alike but for one byte or a zero at the end; each is made once, until there are too many."""
     rng = random.Random(5)

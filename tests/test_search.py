@@ -133,3 +133,29 @@ def test_what_a_search_keeps_makes_no_difference():
     pre, tint = image, seg.colours
     together = edges._moved(inner, pre, tint, cfg.subpixel)
     assert len(inner) > 5 and all(np.array_equal(edges._moved([a], pre, tint, cfg.subpixel)[0], p) for a, p in zip(inner, together))
+
+
+def test_images_searched_side_by_side_are_as_each_alone(monkeypatch):
+    """Sizes mixed, fewer at once than there are, one that is large; and few array calls for each trace, whose count made 10,000 tiles too slow."""
+    rng = np.random.default_rng(9)
+    sizes = [(8, 8), (8, 8), (5, 9), (1, 1), (8, 8), (9, 5), (30, 20)]
+    images = [np.dstack([*(rng.integers(0, 4, (h, w)) / 3 for _ in range(3)), rng.integers(0, 5, (h, w)) > 0]) for h, w in sizes]
+    limits = {"max_seeds": 2, "refine_top": 1, "rounds": 1}
+    monkeypatch.setattr(trace, "AT_ONCE", 4)
+    monkeypatch.setattr(trace, "SMALL", 500)
+    found = dict(trace.searches(images, **limits))
+    assert sorted(found) == list(range(len(images)))
+    plain = lambda c: {k: v for k, v in c.items() if v == v}
+    for i, image in enumerate(images):
+        assert [plain(c) for c in found[i]] == [plain(c) for c in trace.search(image, **limits)]
+        for c in found[i][:6]:
+            metrics, points, size = trace.evaluate(image, Config.from_json(c["config"]))
+            assert plain(metrics | {"points": points, "bytes": size}).items() <= c.items()
+    tiles, measured = [np.dstack([rng.random((8, 8))] * 3 + [np.ones((8, 8))]) for _ in range(4)], []
+    one = edges._moved_of_many
+    monkeypatch.setattr(edges, "_moved_of_many", lambda *a: measured.append(1) or one(*a))
+    dict(trace.searches(tiles, **limits))
+    together = len(measured)
+    for tile in tiles:
+        trace.search(tile, **limits)
+    assert 0 < together <= (len(measured) - together) / 2
